@@ -94,8 +94,9 @@ def local_naive(text: Column, zone: str) -> Column:
 
 
 def iso_with_offset(wall: Column, zone: str) -> Column:
-    """``2026-10-06T19:00:00-07:00``: the zone's offset in force at that wall clock."""
-    minutes = ((epoch_seconds(wall) - epoch_seconds(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall))) / 60).cast("int")
+    """``2026-10-06T19:00:00-07:00``: the zone's offset in force at that wall clock; inside a gap, the one after it."""
+    instant = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+    minutes = ((epoch_seconds(utc_to_wall(instant, zone)) - epoch_seconds(instant)) / 60).cast("int")
     size = F.abs(minutes)
     return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm"), F.lit(":00"),
                     F.when(minutes < 0, "-").otherwise("+"),
