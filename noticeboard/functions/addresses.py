@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .text import blank_to_null
+from .times import let
 
 # --- fixed values ----------------------------------------------------------
 STATE_NAMES = {
@@ -52,26 +53,33 @@ def us_tail(parts: Column) -> Column:
 
 def split_postal(text: Column) -> Column:
     """``5 Some St, Town, ST 02138`` to struct(street, city, state, zip); without a tail it is all street."""
-    parts = _without_country(_parts(text), ("usa", "us", "united states"))
-    tail = us_tail(parts)
     none = F.lit(None).cast("string")
-    return F.when(tail["state"].isNotNull(),
-                  F.struct(blank_to_null(F.array_join(tail["rest"], ", ")).alias("street"), tail["city"].alias("city"),
-                           tail["state"].alias("state"), tail["zip"].alias("zip"))) \
-        .otherwise(F.struct(blank_to_null(text).alias("street"), none.alias("city"), none.alias("state"), none.alias("zip")))
+
+    def parted(tail):
+        return F.when(tail["state"].isNotNull(),
+                      F.struct(blank_to_null(F.array_join(tail["rest"], ", ")).alias("street"), tail["city"].alias("city"),
+                               tail["state"].alias("state"), tail["zip"].alias("zip"))) \
+            .otherwise(F.struct(blank_to_null(text).alias("street"), none.alias("city"), none.alias("state"), none.alias("zip")))
+
+    return let(_parts(text), lambda p: let(_without_country(p, ("usa", "us", "united states")), lambda q: let(us_tail(q), parted)))
 
 
 def split_location(text: Column) -> Column:
     """A calendar LOCATION to struct(name, street, city, state, zip)."""
-    tail = us_tail(_without_country(_parts(text)))
-    rest = tail["rest"]
-    digit = lambda i: F.coalesce(F.try_element_at(rest, F.lit(i)).rlike(r"^\d"), F.lit(False))
     joined = lambda a: blank_to_null(F.array_join(a, ", "))
-    after = F.when(F.size(rest) > 1, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    name = F.when(digit(1), F.lit(None)).when(F.size(rest) == 1, rest[0]).when(digit(2), F.try_element_at(rest, F.lit(1))).otherwise(joined(rest))
-    street = F.when(digit(1), joined(rest)).when(digit(2), joined(after))
-    return F.struct(F.substring(name, 1, 150).alias("name"), F.substring(street, 1, 200).alias("street"),
-                    F.substring(tail["city"], 1, 50).alias("city"), tail["state"].alias("state"), tail["zip"].alias("zip"))
+
+    def parted(tail):
+        def placed(rest):
+            digit = lambda i: F.coalesce(F.try_element_at(rest, F.lit(i)).rlike(r"^\d"), F.lit(False))
+            after = F.when(F.size(rest) > 1, F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+            head = F.try_element_at(rest, F.lit(1))
+            name = F.when(digit(1), F.lit(None)).when((F.size(rest) == 1) | digit(2), head).otherwise(joined(rest))
+            street = F.when(digit(1), joined(rest)).when(digit(2), joined(after))
+            return F.struct(F.substring(name, 1, 150).alias("name"), F.substring(street, 1, 200).alias("street"),
+                            F.substring(tail["city"], 1, 50).alias("city"), tail["state"].alias("state"), tail["zip"].alias("zip"))
+        return let(tail["rest"], placed)
+
+    return let(_parts(text), lambda p: let(_without_country(p), lambda q: let(us_tail(q), parted)))
 
 
 def split_submitted(text: Column) -> Column:

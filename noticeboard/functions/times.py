@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -138,6 +139,28 @@ def clock_text(t: Column) -> Column:
     return F.date_format(t, "h:mm a")
 
 
-def known_zone(name: Column) -> Column:
-    """The zone name where it is an IANA name, else null. The list is about 600 names."""
-    return F.when(name.isin(sorted(available_timezones())), name)
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once inside an expression, so that using it often does not copy it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def zone_resolver(aliases: dict[str, str] | None = None):
+    """Arrow kernel: an IANA zone from its name, from the end of a vendor path, or from an alias; else null."""
+    known, aliases = available_timezones(), aliases or {}
+
+    def one(name):
+        if not name:
+            return None
+        name = name.strip().strip('"')
+        parts = name.split("/")
+        for candidate in [name] + (["/".join(parts[-3:]), "/".join(parts[-2:])] if aliases else []):
+            if candidate in known:
+                return candidate
+        return aliases.get(name.lower())
+
+    @F.pandas_udf(T.StringType())
+    def kernel(s: pd.Series) -> pd.Series:
+        cache = {n: one(n) for n in s.unique()}
+        return s.map(cache.get)
+
+    return kernel

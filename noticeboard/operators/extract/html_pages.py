@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ...functions.markup import card_fields, first_attr, first_text
 from ...functions.rules import (BOOKSHOP_RULES, CIVIC_RULES, EVENTON_RULES, LIBRARY_TEXT_RULES, first_rule)
 from ...functions.text import CANCELLED, absolute_url, image_link, strip_html, unescape
-from ...functions.times import from_epoch_seconds, make_day, month_number, offset_minutes, on_the_minute, utc_to_wall
+from ...functions.times import from_epoch_seconds, let, make_day, month_number, offset_minutes, on_the_minute, utc_to_wall
 from ...settings import DEFAULT, Settings
 from .common import arrival, described, finish, nonblank, param, place, responses
 from .json_feeds import get, text
@@ -147,18 +147,22 @@ def assabet(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAU
 
 def time_element(attr: Column, shown: Column, home: str) -> Column:
     """struct(at, all_day) of a ``<time>`` whose attribute and text agree, else null."""
-    printed = shown_date(shown)
     c = lambda n: F.regexp_extract(shown, CLOCK, n)
     clocked = shown.rlike(CLOCK)
     at = lambda t, d: F.struct(t.cast("timestamp_ntz").alias("at"), F.lit(d).alias("all_day"))
     day = F.when(attr.rlike(r"^\d{4}-\d{2}-\d{2}$"), attr.try_cast("date"))
     off = F.regexp_extract(attr, r"(Z|[+-]\d{2}:?\d{2})$", 1)
     wall = F.regexp_replace(attr, r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
-    instant = on_the_minute(F.when(off == "", wall).otherwise(utc_to_wall(wall - F.make_dt_interval(mins=offset_minutes(off)), home)))
-    same_clock = (F.hour(instant) == hour24(c(1), c(3))) & (F.minute(instant) == F.coalesce(c(2).try_cast("int"), F.lit(0)))
-    midnight = (F.hour(instant) == 0) & (F.minute(instant) == 0)
-    return (F.when(day.isNotNull(), F.when(~clocked & (day == printed), at(day, True)))
-            .when(F.to_date(instant) == printed, F.when(clocked & same_clock, at(instant, False)).when(~clocked & midnight, at(instant, True))))
+    moved = let(wall, lambda w: on_the_minute(F.when(off == "", w).otherwise(utc_to_wall(w - F.make_dt_interval(mins=offset_minutes(off)), home))))
+
+    def judged(x):
+        instant, printed, whole = x["instant"], x["printed"], x["day"]
+        same_clock = (F.hour(instant) == hour24(c(1), c(3))) & (F.minute(instant) == F.coalesce(c(2).try_cast("int"), F.lit(0)))
+        midnight = (F.hour(instant) == 0) & (F.minute(instant) == 0)
+        return (F.when(whole.isNotNull(), F.when(~clocked & (whole == printed), at(whole, True)))
+                .when(F.to_date(instant) == printed, F.when(clocked & same_clock, at(instant, False)).when(~clocked & midnight, at(instant, True))))
+
+    return let(F.struct(moved.alias("instant"), shown_date(shown).alias("printed"), day.alias("day")), judged)
 
 
 def drupal_listing(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

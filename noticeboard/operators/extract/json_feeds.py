@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ...functions.text import NOTICE_TITLE, NOTICE_TITLE_RESCHEDULED, absolute_url, squeeze, strip_html, unescape
 from ...functions.markup import card_fields
-from ...functions.times import (from_epoch_seconds, known_zone, offset_minutes, on_the_minute, utc_to_wall, wall_to_utc)
+from ...functions.times import (from_epoch_seconds, offset_minutes, on_the_minute, utc_to_wall, wall_to_utc, zone_resolver)
 from ...settings import DEFAULT, Settings
 from .common import arrival, described, finish, nonblank, param, place, responses
 
@@ -60,19 +60,19 @@ def _naive(c: Column) -> Column:
     return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), t.try_cast("timestamp_ntz"))
 
 
-def agreed_time(utc: Column, local: Column, zone: Column, home: str) -> Column:
-    """Local wall clock on the minute, if UTC and written clock agree in the row's own zone."""
-    named = known_zone(F.trim(zone))
-    written = F.regexp_extract(F.trim(zone), r"^UTC([+-]\d{1,2}(?:\.\d+)?)?$", 1)
-    fixed = F.trim(zone).rlike(r"^UTC(?:[+-]\d{1,2}(?:\.\d+)?)?$")
-    minutes = F.round(F.coalesce(written.try_cast("double"), F.lit(0.0)) * 60).cast("int")
-    shift = F.make_dt_interval(mins=minutes)
-    stated = F.when(fixed, utc + shift).otherwise(utc_to_wall(utc, named))
-    known = fixed | named.isNotNull()
-    from_local = F.when(fixed, local - shift).otherwise(wall_to_utc(local, named))
-    contradicts = local.isNotNull() & F.coalesce(known, F.lit(False)) & (stated != local)
-    instant = F.when(utc.isNull(), from_local).when(~contradicts, utc)
-    return on_the_minute(utc_to_wall(instant, home))
+def _agreed_time(rows: DataFrame, key: str, out: str, home: str) -> DataFrame:
+    """Add ``out``: local wall clock on the minute, if UTC and written clock agree in the row's own zone ``_zone``.
+
+    A manual offset such as ``UTC-5`` sits in ``_shift`` instead of ``_zone``.
+    """
+    i = F.col("item")
+    rows = rows.withColumn("_u", _naive(text(i, f"$.utc_{key}"))).withColumn("_l", _naive(text(i, f"$.{key}")))
+    fixed = F.col("_shift").isNotNull()
+    rows = rows.withColumn("_said", F.when(fixed, F.col("_u") + F.col("_shift")).otherwise(utc_to_wall(F.col("_u"), F.col("_zone"))))
+    from_local = F.when(fixed, F.col("_l") - F.col("_shift")).otherwise(wall_to_utc(F.col("_l"), F.col("_zone")))
+    contradicts = F.coalesce(F.col("_said") != F.col("_l"), F.lit(False))
+    rows = rows.withColumn("_at", F.when(F.col("_u").isNull(), from_local).when(~contradicts, F.col("_u")))
+    return rows.withColumn(out, on_the_minute(utc_to_wall(F.col("_at"), home)))
 
 
 def tribe(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -83,10 +83,14 @@ def tribe(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAULT
     rows = (rows.withColumn("title", strip_html(text(i, "$.title")))
             .filter((F.length("title") >= 3) & ~F.col("title").rlike(NOTICE_TITLE))
             .withColumn("all_day", flag(i, "$.all_day")))
-    moment = lambda k: agreed_time(_naive(text(i, f"$.utc_{k}")), _naive(text(i, f"$.{k}")), text(i, "$.timezone"), settings.zone)
+    manual = r"^\s*UTC(?:([+-]\d{1,2}(?:\.\d+)?))?\s*$"
+    minutes = F.round(F.coalesce(F.regexp_extract(text(i, "$.timezone"), manual, 1).try_cast("double"), F.lit(0.0)) * 60).cast("int")
+    rows = (rows.withColumn("_zone", zone_resolver()(text(i, "$.timezone")))
+            .withColumn("_shift", F.when(text(i, "$.timezone").rlike(manual), F.make_dt_interval(mins=minutes))))
+    rows = _agreed_time(_agreed_time(rows, "start_date", "_start", settings.zone), "end_date", "_end", settings.zone)
     day = F.date_trunc("day", _naive(text(i, "$.start_date"))).cast("timestamp_ntz")
-    rows = (rows.withColumn("start_datetime", F.when(F.col("all_day"), day).otherwise(moment("start_date")))
-            .withColumn("end_datetime", F.when(~F.col("all_day"), moment("end_date"))))
+    rows = (rows.withColumn("start_datetime", F.when(F.col("all_day"), day).otherwise(F.col("_start")))
+            .withColumn("end_datetime", F.when(~F.col("all_day"), F.col("_end"))))
     for out, leaf in (("_name", "venue"), ("_street", "address"), ("_city", "city"), ("_zip", "zip")):
         rows = rows.withColumn(out, strip_html(first("venue", leaf)))
     rows = rows.withColumn("_state", strip_html(F.coalesce(first("venue", "stateprovince"), first("venue", "state"), first("venue", "province"))))

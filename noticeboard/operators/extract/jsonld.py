@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ...functions.addresses import split_postal
 from ...functions.rules import SCHEMA_TYPE_CATEGORY
 from ...functions.text import NOTICE_TITLE, absolute_url, strip_html, unescape
-from ...functions.times import make_day, offset_minutes, on_the_minute, utc_to_wall
+from ...functions.times import let, make_day, offset_minutes, on_the_minute, utc_to_wall
 from ...settings import DEFAULT, Settings
 from .common import arrival, described, finish, nonblank, param, place, responses
 from .json_feeds import get, text
@@ -76,14 +76,16 @@ def read_when(raw: Column, mode: Column, home: str) -> Column:
     part = lambda n: F.regexp_extract(raw, ISO, n)
     day = make_day(part(1), part(2), part(3)).cast("timestamp_ntz")
     hour, minute = part(4).try_cast("int"), part(5).try_cast("int")
-    wall = F.when((hour < 24) & (minute < 60), day + F.make_dt_interval(hours=hour, mins=minute))
-    offset = part(7)
-    instant = wall - F.make_dt_interval(mins=offset_minutes(offset))
-    # the region's own offset: converting the instant gives back the written clock (either side of an overlap)
-    moved = utc_to_wall(instant, home)
-    timed = F.when((offset == "") | (mode == "wall"), wall).when(mode == "instant", on_the_minute(moved)).when(moved == wall, wall)
     at = lambda t, d: F.when(t.isNotNull(), F.struct(t.alias("at"), F.lit(d).alias("all_day")))
-    return F.when(raw.rlike(ISO), F.when(part(4) == "", at(day, True)).otherwise(at(timed, False)))
+    offset = part(7)
+
+    def timed(wall):
+        # the region's own offset: converting the instant gives back the written clock (either side of an overlap)
+        return let(utc_to_wall(wall - F.make_dt_interval(mins=offset_minutes(offset)), home), lambda moved: at(
+            F.when((offset == "") | (mode == "wall"), wall).when(mode == "instant", on_the_minute(moved)).when(moved == wall, wall), False))
+
+    return F.when(raw.rlike(ISO), F.when(part(4) == "", at(day, True)).otherwise(
+        let(F.when((hour < 24) & (minute < 60), day + F.make_dt_interval(hours=hour, mins=minute)), timed)))
 
 
 def one_of(v: Column, path: str) -> Column:
@@ -130,7 +132,8 @@ def jsonld(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAUL
     p = F.col("_pl")
     online = F.col("_status").endswith("EventMovedOnline") | ((F.col("_np") > 0) & p.isNull())
     name = strip_html(F.coalesce(text(p, "$.name"), text(p, "$")))
-    split = split_postal(unescape(text(p, "$.address")))
+    rows = rows.withColumn("_addr", unescape(text(p, "$.address"))).withColumn("_split", split_postal(F.col("_addr")))
+    split = F.col("_split")
     region = unescape(text(p, "$.address.addressRegion"))
     pick = lambda leaf, alt: F.coalesce(nonblank(unescape(get(p, f"$.address.{leaf}"))), split[alt])
     at = place(F.substring(F.when(online, "Online").otherwise(name), 1, 150), F.substring(F.when(~online, pick("streetAddress", "street")), 1, 200),
