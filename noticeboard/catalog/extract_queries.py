@@ -27,7 +27,7 @@ def _orders(spark, sf):
         .withColumn("off", F.col("o_orderkey") % 7 == 0).withColumn("title", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))).withColumn("page", F.expr(f"o_orderkey div {PER}"))
 
 
-O_SQL = "o AS (SELECT *, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 12 + 8)::INT AS at, o_orderkey % 7 = 0 AS off, 'Order ' || o_orderkey AS title FROM orders)"
+O_SQL = "o AS (SELECT *, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 12 + 8)::INT AS tm, o_orderkey % 7 = 0 AS off, 'Order ' || o_orderkey AS title FROM orders)"
 
 
 def _captures(df, body):
@@ -153,15 +153,15 @@ def _outcomes(spark, sf):
 
 
 QUERIES = {
-    "feed_tribe": (tribe, f"WITH {O_SQL} SELECT title, at - INTERVAL 3 HOUR AS start_datetime, 'Room ' || (o_custkey % 10) AS venue_name, 'priority & status ' || o_orderpriority AS description FROM o WHERE NOT off"),
-    "feed_squarespace": (squarespace, f"WITH {O_SQL} SELECT title, at - INTERVAL 8 HOUR AS start_datetime, '$' || (o_custkey % 40) AS cost, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o"),
-    "feed_localist": (localist, f"WITH {O_SQL} SELECT title, at + INTERVAL 24 HOUR * i::INT AS start_datetime, 'Free' AS cost FROM o, (VALUES (0), (1)) t(i) WHERE o_orderstatus <> 'F'"),
-    "feed_ical_weekly": (ical_feed, f"WITH {O_SQL} SELECT title, at + INTERVAL 7 DAY * i::INT AS start_datetime, at + INTERVAL 7 DAY * i::INT + INTERVAL 90 MINUTE AS end_datetime, 'Oakland' AS city FROM o, (SELECT unnest(range(5)) AS i) WHERE NOT (off AND i = 2)"),
-    "page_jsonld": (jsonld_pages, f"WITH {O_SQL} SELECT title, at AS start_datetime, 'music' AS category, CASE WHEN o_custkey = 0 THEN 'Free' ELSE '$' || o_custkey END AS cost, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o WHERE NOT off"),
-    "page_drupal_rows": (drupal, f"WITH {O_SQL} SELECT title, at AS start_datetime, 'https://shop.example.org/n/' || o_orderkey AS source_url, 'community' AS category FROM o WHERE NOT off"),
-    "page_eventon": (eventon, f"WITH {O_SQL} SELECT title || ' jazz' AS title, at AS start_datetime, at + INTERVAL 1 HOUR AS end_datetime, 'music' AS category FROM o WHERE NOT off"),
-    "page_text_cards": (text_cards, f"WITH {O_SQL} SELECT title, at AS start_datetime, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o WHERE NOT off"),
-    "submission_rows": (submitted, f"WITH {O_SQL} SELECT title, at AS start_datetime, 'Hall ' || o_custkey AS venue_name, '5 Elm St' AS street_address, o_orderkey + 2 AS row_index FROM o WHERE NOT off AND o_orderstatus <> 'F'"),
+    "feed_tribe": (tribe, f"WITH {O_SQL} SELECT title, tm - INTERVAL 3 HOUR AS start_datetime, 'Room ' || (o_custkey % 10) AS venue_name, 'priority & status ' || o_orderpriority AS description FROM o WHERE NOT off"),
+    "feed_squarespace": (squarespace, f"WITH {O_SQL} SELECT title, tm - INTERVAL 8 HOUR AS start_datetime, '$' || (o_custkey % 40) AS cost, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o"),
+    "feed_localist": (localist, f"WITH {O_SQL} SELECT title, tm + INTERVAL 24 HOUR * i::INT AS start_datetime, 'Free' AS cost FROM o, (VALUES (0), (1)) t(i) WHERE o_orderstatus <> 'F'"),
+    "feed_ical_weekly": (ical_feed, f"WITH {O_SQL} SELECT title, tm + INTERVAL 7 DAY * i::INT AS start_datetime, tm + INTERVAL 7 DAY * i::INT + INTERVAL 90 MINUTE AS end_datetime, 'Oakland' AS city FROM o, (SELECT unnest(range(5)) AS i) WHERE NOT (off AND i = 2)"),
+    "page_jsonld": (jsonld_pages, f"WITH {O_SQL} SELECT title, tm AS start_datetime, 'music' AS category, CASE WHEN o_custkey = 0 THEN 'Free' ELSE '$' || o_custkey END AS cost, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o WHERE NOT off"),
+    "page_drupal_rows": (drupal, f"WITH {O_SQL} SELECT title, tm AS start_datetime, 'https://shop.example.org/n/' || o_orderkey AS source_url, 'community' AS category FROM o WHERE NOT off"),
+    "page_eventon": (eventon, f"WITH {O_SQL} SELECT title || ' jazz' AS title, tm AS start_datetime, tm + INTERVAL 1 HOUR AS end_datetime, 'music' AS category FROM o WHERE NOT off"),
+    "page_text_cards": (text_cards, f"WITH {O_SQL} SELECT title, tm AS start_datetime, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o WHERE NOT off"),
+    "submission_rows": (submitted, f"WITH {O_SQL} SELECT title, tm AS start_datetime, 'Hall ' || o_custkey AS venue_name, '5 Elm St' AS street_address, o_orderkey + 2 AS row_index FROM o WHERE NOT off AND o_orderstatus <> 'F'"),
     "page_platform_scores": (lambda s, d: detect.detect(marked(s, d), use_evidence=False).select("page_id", "platform", "score", "position"),
                              f"WITH {MARKED}, z AS ({_scores_sql()}) SELECT page_id, platform, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, g, platform)::INT AS position FROM z WHERE score >= 0.2"),
     "page_platforms": (lambda s, d: detect.detect(marked(s, d)), None),
@@ -173,7 +173,7 @@ QUERIES = {
     "page_images": (lambda s, d: checks.page_images(table(s, d, "pages")), None),
     "url_keys": (lambda s, d: table(s, d, "pages").select("page_id", x.url_key(F.concat(F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("a=2026-10-06"))).alias("key")),
                  r"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages) SELECT page_id, lower(regexp_extract(b, '^([^/?]*//[^/?]*)', 1)) || regexp_extract(b, '^[^/?]*//[^/?]*([^?]*)', 1) || '?' ||
-                 array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1) || '&a=%3Cdate%3E', '&'), p -> p <> '')), '&') AS key FROM u"""),
+                 array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\?(.*)$', 1) || '&a=%3Cdate%3E', '&'), lambda p: p <> '')), '&') AS key FROM u"""),
     "capture_lookup": (lambda s, d: cap.find_capture(
         table(s, d, "pages").select(F.col("url").alias("wanted_url")).distinct(),
         table(s, d, "pages").select("url", F.col("url").alias("final_url"), F.col("page_id").cast("int").alias("seq"), F.lit(200).alias("status"), F.col("html").alias("body"))).select("wanted_url", "url", "seq"),
