@@ -9,10 +9,10 @@ from .serving_queries import FACETS, L, T, facet_sql
 from .views import AS_OF, LV, table
 
 SLUG = "regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(venue_name, '^\\s*the\\s+', '', 'i')), '&', ' and ', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-ICS = """'BEGIN:VCALENDAR' || e || 'VERSION:2.0' || e || 'PRODID:-//Town Listings//Events//EN' || e || 'CALSCALE:GREGORIAN' || e || 'METHOD:PUBLISH' || e || 'BEGIN:VEVENT' || e || 'UID:' || id || '@listings.example.org' || e || 'DTSTAMP:20240115T000000Z' || e ||
+ICS = r"""'BEGIN:VCALENDAR' || e || 'VERSION:2.0' || e || 'PRODID:-//Town Listings//Events//EN' || e || 'CALSCALE:GREGORIAN' || e || 'METHOD:PUBLISH' || e || 'BEGIN:VEVENT' || e || 'UID:' || id || '@listings.example.org' || e || 'DTSTAMP:20240115T000000Z' || e ||
  CASE WHEN all_day THEN 'DTSTART;VALUE=DATE:' || strftime(start_datetime, '%Y%m%d') || e || 'DTEND;VALUE=DATE:' || strftime(CAST(coalesce(end_datetime, start_datetime) AS DATE) + 1, '%Y%m%d')
   ELSE 'DTSTART:' || strftime(start_datetime, '%Y%m%dT%H%M%S') || e || 'DTEND:' || strftime(coalesce(end_datetime, start_datetime + INTERVAL 2 HOUR), '%Y%m%dT%H%M%S') END || e ||
- 'SUMMARY:' || title || e || 'DESCRIPTION:' || replace(replace(description, ';', '\;'), ',', '\\,') || '\\n\\nMore info: ' || source_url || e || 'LOCATION:' || replace(loc, ',', '\\,') || e ||
+ 'SUMMARY:' || title || e || 'DESCRIPTION:' || replace(replace(description, ';', '\;'), ',', '\,') || '\n\nMore info: ' || source_url || e || 'LOCATION:' || replace(loc, ',', '\,') || e ||
  'URL:' || source_url || e || 'END:VEVENT' || e || 'END:VCALENDAR' || e"""
 UPV = f"up AS (SELECT *, {SLUG} AS slug FROM lv WHERE start_datetime >= {T} AND venue_name IS NOT NULL)"
 VENUE = f"""{LV}, {UPV}, sp AS (SELECT slug, venue_name, count(*) n, min((start_datetime, arrival_ix)) seen FROM up GROUP BY ALL),

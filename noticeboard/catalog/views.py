@@ -79,7 +79,7 @@ def registry(spark: SparkSession) -> DataFrame:
 # documents as listings: the first line is the title, the whole text the description
 DOC_SELECT = """
 SELECT doc_id AS arrival_ix, source AS source_name, substring(split_part(text, chr(10), 1), 1, 200) AS title, text AS description,
-  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 24 AS INT) AS start_datetime,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id % 720 AS INT) AS start_datetime,
   concat('https://docs.example.org/', doc_id) AS source_url, lang AS category, doc_id % 3 AS d3
 FROM documents
 """
@@ -88,7 +88,7 @@ DV = "dv AS (" + DOC_SELECT + ")"
 
 def doc_listings(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    hour = F.make_dt_interval(hours=(F.col("doc_id") % 24).cast("int"))
+    hour = F.make_dt_interval(hours=(F.col("doc_id") % 720).cast("int"))
     return docs.select(
         F.col("doc_id").alias("arrival_ix"), F.col("source").alias("source_name"),
         F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 200).alias("title"), F.col("text").alias("description"),
