@@ -32,7 +32,9 @@ O_SQL = "o AS (SELECT *, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 12 + 8)::
 
 def _captures(df, body):
     """One capture per page; ``body`` builds it from the page's rows (at most fifty)."""
-    pages = df.groupBy("page").agg(body.alias("body"))
+    # parsing is heavy for the bytes: keep the partition count, as files on disk would
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pages = df.repartition(parts, "page").groupBy("page").agg(body.alias("body"))
     return conform(pages.select(F.lit("shop").alias("source_name"), F.col("page").cast("int").alias("seq"), F.concat(F.lit("https://shop.example.org/p/"), F.col("page").cast("string")).alias("url"),
                                 F.lit(200).alias("status"), "body"), CAPTURE)
 
