@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, sharding, token_files
+from . import fingerprints, mixing, packing, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -18,6 +18,39 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf))
+
+
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
+# the thresholds and words are written out here, so that a change in the operator's table shows
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+g AS (SELECT k, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS g, unnest(range(1, len(words) - 6)) AS i FROM w),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT k, CAST(sum(least(8, i - before)) AS BIGINT) AS n_repeat_words FROM (SELECT k, i, coalesce(lag(i) OVER (PARTITION BY k ORDER BY i), -7) AS before FROM r) GROUP BY k),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(c.n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+  len(list_filter(words, lambda x: lower(x) IN ('the','of','and','to','in','is','that','for','with','as','are','be','at','on','by','it','or','from','was',
+   'le','la','les','de','des','du','et','un','une','en','est','que','qui','dans','pour','au','ce','se','der','die','das','und','zu','den','von','mit','ist',
+   'ein','eine','nicht','sich','auf','im','dem','el','los','las','y','del','por','con','una','es','no','su','lo'))) AS n_stop,
+  len(list_filter(words, lambda x: regexp_matches(x, '\\p{L}'))) AS n_alpha,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^[ \\t]*[*\u2022-]'))) AS n_bullet,
+  len(list_filter(lines, lambda x: regexp_matches(x, '(\\.\\.\\.|\u2026)[ \\t\\r]*$'))) AS n_dots FROM w LEFT JOIN c USING (k)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words <= 100000 AND word_chars >= 2.5 * n_words AND word_chars <= 12 * n_words AND n_symbols <= 0.1 * n_words
+  AND n_stop >= 0.01 * n_words AND n_alpha >= 0.7 * n_words AND n_dup_lines <= 0.5 * n_lines AND n_bullet <= 0.9 * n_lines AND n_dots <= 0.3 * n_lines AS kept FROM b
+"""
+
+
 def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
     token_files.write_tokens(documents(spark, sf), folder, tokenizer_path(), end_id=1)
@@ -52,6 +85,8 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op2_fingerprints": (op2_fingerprints, None),
+    "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_packing": (op10_packing, None),
