@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, packing, quality_rules, sharding, token_files
+from . import fingerprints, mixing, ngram_join, packing, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -22,6 +22,11 @@ def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, sf))
 
 
+def op3_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = ngram_join.link_documents(documents(spark, sf), width=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.judge(documents(spark, sf))
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -86,6 +91,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_fingerprints": (op2_fingerprints, None),
+    "op3_ngram_join": (op3_ngram_join, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
