@@ -77,3 +77,19 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     return cur.select(F.col("a").alias("node"), F.col("b").alias("root")).union(cur.select(F.col("b"), F.col("b")).distinct())
+
+
+def might_contain(keys: DataFrame, column: Column, bits: int = 1 << 23) -> Column:
+    """True for every value of ``column`` among the one long column of ``keys``, and for few others: a bitmap of fixed size.
+
+    It thins what a join would shuffle. The exact join must follow: where keys outgrow the bitmap it lets more through, never less.
+    """
+    name, words = keys.columns[0], bits // 64
+    at = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
+    part = keys.select(F.call_function("div", at, F.lit(64)).cast("int").alias("w"), (at % 64).cast("int").alias("b"))
+    part = part.groupBy("w").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("v"))
+    whole = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(part, "w", "left")
+    row = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))), lambda s: s["v"]).alias("bitmap"))
+    mine = F.pmod(F.xxhash64(column), F.lit(bits))
+    word = F.get(stored(row).scalar(), F.call_function("div", mine, F.lit(64)).cast("int"))
+    return F.call_function("shiftrightunsigned", word, (mine % 64).cast("int")).bitwiseAND(F.lit(1)) == 1

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, mixing, ngram_join, packing, quality_rules, sharding, token_files
+from . import fingerprints, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -56,6 +56,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(documents(spark, sf))
+    return deduped.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
     token_files.write_tokens(documents(spark, sf), folder, tokenizer_path(), end_id=1)
@@ -93,6 +98,7 @@ QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_ngram_join": (op3_ngram_join, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
+    "op6_line_dedup": (op6_line_dedup, None),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_packing": (op10_packing, None),
