@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, line_dedup, mixing, ngram_join, packing, quality_rules, sharding, token_files
+from . import fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -56,6 +56,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.find_personal_data(documents(spark, sf))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in ("email", "ip", "card", "phone")), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"),
+                        pii.written(F.col("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     deduped = line_dedup.dedup_lines(documents(spark, sf))
     return deduped.select("doc_id", "text", "n_lines", "n_removed")
@@ -98,6 +105,7 @@ QUERIES = {
     "op2_fingerprints": (op2_fingerprints, None),
     "op3_ngram_join": (op3_ngram_join, None),
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
+    "op5_pii": (op5_pii, None),
     "op6_line_dedup": (op6_line_dedup, None),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
