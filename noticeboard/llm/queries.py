@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, line_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
+from . import fingerprints, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -68,6 +68,18 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return deduped.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages by markup and address, and all documents by text with their source as host."""
+    docs = documents(spark, sf)
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    key = lambda doc, page: F.struct(doc.cast("long").alias("doc_id"), page.cast("long").alias("page_id")).alias("key")
+    null = F.lit(None)
+    rows = pages.select(key(null, F.col("page_id")), F.col("url").alias("address"), "html", null.cast("string").alias("text")).union(
+        docs.select(key(F.col("doc_id"), null), F.col("source").alias("address"), null.cast("string").alias("html"), F.coalesce("text", F.lit("")).alias("text")))
+    found = language_id.identify(rows, *language_id.train(docs.select("doc_id", "text", "lang")))
+    return found.select("key.doc_id", "key.page_id", "lang", F.round("probability", 6).alias("probability"), "text_lang", "declared", "host")
+
+
 def op8_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_folder(spark)
     token_files.write_tokens(documents(spark, sf), folder, tokenizer_path(), end_id=1)
@@ -107,6 +119,7 @@ QUERIES = {
     "op4_quality_rules": (op4_quality_rules, OP4_SQL),
     "op5_pii": (op5_pii, None),
     "op6_line_dedup": (op6_line_dedup, None),
+    "op7_language_id": (op7_language_id, None),
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_packing": (op10_packing, None),
