@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import number_rows
+from .common import number_rows, stored
 from .tokens import batches, codec
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -120,7 +120,8 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return place(cut_pieces(docs, tokenizer, capacity, end_id), capacity)
+    # ranging samples its input first: stored pieces are encoded once
+    return place(stored(cut_pieces(docs, tokenizer, capacity, end_id)), capacity)
 
 
 def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
