@@ -35,6 +35,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def settled_where(df: DataFrame, condition: Column | str) -> DataFrame:
+    """``df.where(condition)`` on columns as they stand: the row mark keeps the optimiser from pushing the condition below them, where
+    it would repeat costly expressions once for every use of a column."""
+    condition = F.expr(condition) if isinstance(condition, str) else condition
+    return df.withColumn("_mark", F.monotonically_increasing_id()).where(condition & (F.col("_mark") >= 0)).drop("_mark")
+
+
 def number_rows(df: DataFrame, *order: Column, name: str = "row_number") -> tuple[DataFrame, int]:
     """Number rows from 0 in ``order`` over all partitions; returns the frame and the number of rows.
 
