@@ -154,7 +154,23 @@ def _outcomes(spark, sf):
     return checks.source_outcomes(caps, l.filter("source_name IN ('s1', 's2', 's3')")).drop("error")
 
 
+HREFS = ("../x.html", "../../y?a=../b", "./z/./w", "?q=1", "#part", "/r/../s/", "../../../../../t/..")
+
+
+def _links(spark, sf):
+    href = F.element_at(F.array(*(F.lit(h) for h in HREFS)), (F.col("page_id") % len(HREFS) + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", x.absolute_url(F.col("url"), href).alias("link"))
+
+
+# written out per form of link; ``dirs`` are the folders of the page's path, the first one empty
+LINKS_SQL = """WITH p AS (SELECT page_id, page_id % 7 AS k, regexp_replace(url, '#.*$', '') AS whole, regexp_replace(url, '[?#].*$', '') AS path, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root FROM pages),
+ d AS (SELECT *, list_slice(string_split(CASE WHEN substr(path, length(root) + 1) = '' THEN '/' ELSE substr(path, length(root) + 1) END, '/'), 1, -2) AS dirs FROM p)
+ SELECT page_id, CASE k WHEN 0 THEN root || array_to_string(list_slice(dirs, 1, greatest(1, len(dirs) - 1)), '/') || '/x.html' WHEN 1 THEN root || array_to_string(list_slice(dirs, 1, greatest(1, len(dirs) - 2)), '/') || '/y?a=../b'
+  WHEN 2 THEN root || array_to_string(dirs, '/') || '/z/w' WHEN 3 THEN path || '?q=1' WHEN 4 THEN whole || '#part' WHEN 5 THEN root || '/s/' ELSE root || array_to_string(list_slice(dirs, 1, greatest(1, len(dirs) - 5)), '/') || '/' END AS link FROM d"""
+
+
 QUERIES = {
+    "resolved_links": (_links, LINKS_SQL),
     "feed_tribe": (tribe, f"WITH {O_SQL} SELECT title, tm - INTERVAL 3 HOUR AS start_datetime, 'Room ' || (o_custkey % 10) AS venue_name, 'priority & status ' || o_orderpriority AS description FROM o WHERE NOT off"),
     "feed_squarespace": (squarespace, f"WITH {O_SQL} SELECT title, tm - INTERVAL 8 HOUR AS start_datetime, '$' || (o_custkey % 40) AS cost, 'https://shop.example.org/e/' || o_orderkey AS source_url FROM o"),
     "feed_localist": (localist, f"WITH {O_SQL} SELECT title, tm + INTERVAL 24 HOUR * i::INT AS start_datetime, 'Free' AS cost FROM o, (VALUES (0), (1)) t(i) WHERE o_orderstatus <> 'F'"),
@@ -180,10 +196,10 @@ QUERIES = {
         table(s, d, "pages").select(F.col("url").alias("wanted_url")).distinct(),
         table(s, d, "pages").select("url", F.col("url").alias("final_url"), F.col("page_id").cast("int").alias("seq"), F.lit(200).alias("status"), F.col("html").alias("body"))).select("wanted_url", "url", "seq"),
         "SELECT url AS wanted_url, url, min(page_id)::INT AS seq FROM pages GROUP BY url"),
-    "completeness": (lambda s, d: checks.completeness(_paged(s, d).filter("k % 3 = 0").select("source_name", F.col("seq").alias("page"), F.lit(41).alias("total_pages"))),
-                     "WITH l AS (SELECT 's' || (l_suppkey % 10) AS source_name, l_orderkey % 40 AS page FROM lineitem WHERE l_partkey % 3 = 0) SELECT source_name, 41 AS announced, count(DISTINCT page) AS captured, 41 - count(DISTINCT page) AS pages_missing FROM l GROUP BY ALL"),
-    "paging_stop": (lambda s, d: checks.before_repeat(_paged(s, d).filter("k < 60"), ["k"]).groupBy("source_name").agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last_page")),
-                    """WITH l AS (SELECT 's' || (l_suppkey % 10) AS source_name, (l_orderkey % 40)::INT AS seq, l_partkey AS k FROM lineitem WHERE l_partkey < 60), f AS (SELECT source_name, k, min(seq) seq FROM l GROUP BY ALL),
+    "completeness": (lambda s, d: checks.completeness(_paged(s, d).select("source_name", F.col("seq").alias("page"), F.lit(41).alias("total_pages"))),
+                     "WITH l AS (SELECT 's' || (l_suppkey % 10) AS source_name, l_orderkey % 40 AS page FROM lineitem) SELECT source_name, 41 AS announced, count(DISTINCT page) AS captured, 41 - count(DISTINCT page) AS pages_missing FROM l GROUP BY ALL"),
+    "paging_stop": (lambda s, d: checks.before_repeat(_paged(s, d), ["k"]).groupBy("source_name").agg(F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last_page")),
+                    """WITH l AS (SELECT 's' || (l_suppkey % 10) AS source_name, (l_orderkey % 40)::INT AS seq, l_partkey AS k FROM lineitem), f AS (SELECT source_name, k, min(seq) seq FROM l GROUP BY ALL),
                     st AS (SELECT source_name, min(seq) stop FROM (SELECT DISTINCT source_name, seq FROM l EXCEPT SELECT source_name, seq FROM f) GROUP BY ALL)
                     SELECT source_name, count(*) AS rows, max(seq) AS last_page FROM l LEFT JOIN st USING (source_name) WHERE stop IS NULL OR seq < stop GROUP BY ALL"""),
     "source_outcomes": (_outcomes, """WITH l AS (SELECT 's' || (l_suppkey % 10) AS source_name, l_orderkey % 40 AS seq, l_partkey k FROM lineitem), c AS (SELECT source_name, seq, min(k) % 3 = 0 AS bad FROM l GROUP BY ALL),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from ..functions import rules, text as x, times
 from ..operators import dedup, normalise as n, places, publish as pub
 from ..schema import CANDIDATE, LISTING, USER_SUBMITTED, conform
+from ..operators.normalise import number_rows
 from ..sources import registry as reg
+from ..sources.stored import canonical_order
 from .views import AS_OF, DV, LV, REG, doc_listings, full_listings, listings, registry, table
 
 L = full_listings
@@ -110,8 +112,7 @@ SNAP = LV + """, a AS (SELECT id, arrival_ix, title, source_name, start_datetime
 def near_rows(spark, sf):
     """Candidates with real near copies: document titles spread over two sources and a few start times."""
     d = doc_listings(spark, sf)
-    short = F.regexp_extract("title", r"^((?:\S+\s*){0,6})", 1)
-    rows = d.withColumn("title", F.trim(short)).withColumn("venue_name", F.when(F.col("d3") > 0, F.concat(F.lit("Hall "), F.col("d3").cast("string"))))
+    rows = d.withColumn("venue_name", F.when(F.col("d3") > 0, F.concat(F.lit("Hall "), F.col("d3").cast("string"))))
     again = rows.withColumn("arrival_ix", F.col("arrival_ix") + 10_000_000_000).withColumn("source_name", F.lit("purchase")) \
         .withColumn("title", F.concat(F.lit("Live: "), "title")).withColumn("start_datetime", F.col("start_datetime") + F.expr("INTERVAL 30 MINUTES"))
     return conform(rows.unionByName(again), CANDIDATE)
@@ -188,7 +189,7 @@ QUERIES = {
     "preserve_and_rescue": (_preserve, f"WITH {LV} SELECT id, source_name FROM lv WHERE source_name = 'error' OR (source_name IN ('purchase', 'signup') AND start_datetime >= DATE '2024-01-20')"),
     "replace_sources": (lambda s, d: pub.replace_sources(L(s, d), L(s, d).filter("k = 1 AND source_name <> 'view'")).select("id"), f"WITH {LV} SELECT id FROM lv WHERE source_name NOT IN (SELECT source_name FROM lv WHERE k = 1 AND source_name <> 'view')"),
     "new_submissions": (_submitted, f"""WITH {LV}, a AS (SELECT *, lower(title) t, CAST(start_datetime AS DATE) dd FROM lv) SELECT id FROM a WHERE arrival_ix % 2 = 0 AND (t, dd) NOT IN (SELECT (t, dd) FROM a WHERE arrival_ix % 6 = 1) QUALIFY row_number() OVER (PARTITION BY t, dd ORDER BY arrival_ix) = 1"""),
-    "canonical_order": (lambda s, d: L(s, d).orderBy("start_datetime", "id").limit(500).select("id", "start_datetime"), f"WITH {LV} SELECT id, start_datetime FROM lv ORDER BY start_datetime, id LIMIT 500"),
+    "canonical_order": (lambda s, d: number_rows(canonical_order(L(s, d)).withColumn("_o", F.struct("start_datetime", "id")), "_o").select("id", "start_datetime", F.col("n").cast("bigint").alias("position")), f"WITH {LV} SELECT id, start_datetime, row_number() OVER (ORDER BY start_datetime, id) - 1 AS position FROM lv"),
     "first_wins": (lambda s, d: dedup.first_wins(listings(s, d), ["source_url", "title"]).select("id"), f"WITH {LV} SELECT id FROM lv QUALIFY row_number() OVER (PARTITION BY source_url, title ORDER BY arrival_ix) = 1"),
     "same_source_duplicates": (lambda s, d: dedup.same_source_pairs(listings(s, d).withColumn("start_datetime", F.date_trunc("day", "start_datetime").cast("timestamp_ntz"))).groupBy("src").agg(F.sum("row_pairs").cast("bigint").alias("row_pairs")),
                                f"WITH {LV}, z AS (SELECT *, date_trunc('day', start_datetime) st, coalesce(lower(venue_name), '') v, {fold_sql('title')} t FROM lv) SELECT a.source_name AS src, count(*) AS row_pairs FROM z a JOIN z b ON a.source_name = b.source_name AND a.st = b.st AND a.t = b.t AND a.arrival_ix < b.arrival_ix WHERE a.v = '' OR b.v = '' OR a.v = b.v GROUP BY ALL"),

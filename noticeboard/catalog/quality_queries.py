@@ -145,6 +145,9 @@ def _run_summary(spark, sf):
     return h.run_summary(h.recent_runs(_runs(spark, sf), 20)).withColumn("failed", F.array_join("failed", ","))
 
 
+BASE_VALUES = ", ".join(f"('{m}', CAST({m} AS DOUBLE))" for m in (
+    "events", "date_span_days", "max_events_one_day", "distinct_titles_ratio", "distinct_images_ratio", "median_description_len"))
+
 QUERIES = {
     "fingerprint_by_source": (lambda s, d: q.fingerprints(listings(s, d)), f"WITH {LV}, {fp_sql()} SELECT {FP_COLS} FROM fp"),
     "fingerprint_by_source_day": (daily_history, f"WITH {LV}, lvd AS (SELECT *, strftime(raw_start, '%Y-%m-%d') AS run_id FROM lv), {fp_sql('run_id', 'fp', 'lvd')} SELECT {FP_COLS}, run_id FROM fp"),
@@ -154,8 +157,8 @@ QUERIES = {
                                 _per_source_sql("clock_stamped", "date_part('microsecond', raw_start)::BIGINT <> 0", ISO.format("raw_start"))),
     "invariant_pileup": (_v(lambda s, d: q.timestamp_pileup(listings(s, d).withColumn("start_datetime", F.date_trunc("day", "start_datetime").cast("timestamp_ntz")))),
                          f"WITH {LV}, dd AS (SELECT source_name, date_trunc('day', start_datetime)::TIMESTAMP AS start_datetime FROM lv) SELECT 'timestamp_pileup' AS rule, 'error' AS severity, source_name AS source, count(*) AS count, {ISO.format('start_datetime')} AS sample FROM dd GROUP BY source_name, start_datetime HAVING count(*) > 20"),
-    "invariant_uniform": (_v(lambda s, d: q.uniform_timestamp(listings(s, d).withColumn("source_name", F.concat("source_name", F.lit("-"), F.to_date("start_datetime").cast("string"))).filter("all_day OR k % 40 = 1"))),
-                          f"""WITH {LV}, x AS (SELECT source_name || '-' || CAST(CAST(start_datetime AS DATE) AS VARCHAR) AS source_name, start_datetime FROM lv WHERE all_day OR k % 40 = 1),
+    "invariant_uniform": (_v(lambda s, d: q.uniform_timestamp(listings(s, d).withColumn("source_name", F.concat("source_name", F.lit("-"), F.to_date("start_datetime").cast("string"))).withColumn("source_name", F.when(F.expr("all_day OR k % 40 = 1"), F.col("source_name")).otherwise(F.concat("source_name", F.lit("-"), F.hour("start_datetime").cast("string")))))),
+                          f"""WITH {LV}, x AS (SELECT source_name || '-' || CAST(CAST(start_datetime AS DATE) AS VARCHAR) || CASE WHEN all_day OR k % 40 = 1 THEN '' ELSE '-' || CAST(hour(start_datetime) AS VARCHAR) END AS source_name, start_datetime FROM lv),
                           per AS (SELECT source_name, start_datetime, count(*) n FROM x GROUP BY ALL), tot AS (SELECT source_name, sum(n) t FROM per GROUP BY ALL)
                           SELECT 'uniform_timestamp' AS rule, 'error' AS severity, source_name AS source, n AS count, {ISO.format('start_datetime')} AS sample FROM per JOIN tot USING (source_name) WHERE t >= 8 AND n / t > 0.7 AND n <= 20"""),
     "invariant_out_of_range": (_v(lambda s, d: q.date_out_of_range(listings(s, d), "2026-01-10 12:00:00")),
@@ -172,9 +175,9 @@ QUERIES = {
     "invariant_tz_aware": (_v(lambda s, d: q.tz_aware(raw_times(listings(s, d)))),
                            f"""WITH {RAW_SQL}, f AS (SELECT arrival_ix, source_name, 0 AS i, s0 AS v FROM raw UNION ALL SELECT arrival_ix, source_name, 1, s1 FROM raw)
                            SELECT 'tz_aware' AS rule, 'error' AS severity, source_name AS source, count(*) AS count, first(v ORDER BY arrival_ix, i) AS sample FROM f WHERE regexp_matches(v, '([+-][0-9]{{2}}:?[0-9]{{2}}|Z)$') GROUP BY source_name"""),
-    "baseline_median": (lambda s, d: q.baseline(daily_history(s, d)).filter("metric IN ('events', 'max_events_one_day', 'median_description_len')"),
+    "baseline_median": (lambda s, d: q.baseline(daily_history(s, d)),
                         f"""WITH {LV}, lvd AS (SELECT *, strftime(raw_start, '%Y-%m-%d') AS run_id FROM lv), {fp_sql('run_id', 'fp', 'lvd')}
-                        SELECT source, metric, median(value) AS base FROM fp CROSS JOIN LATERAL (VALUES ('events', CAST(events AS DOUBLE)), ('max_events_one_day', CAST(max_events_one_day AS DOUBLE)), ('median_description_len', CAST(median_description_len AS DOUBLE))) t(metric, value) GROUP BY ALL"""),
+                        SELECT source, metric, median(value) AS base FROM fp CROSS JOIN LATERAL (VALUES {BASE_VALUES}) t(metric, value) WHERE value IS NOT NULL GROUP BY ALL"""),
     "drift_rules": (lambda s, d: q.metric_drift(*_now_and_past(s, d)).select(*DCOLS), f"WITH {NOW_SQL} SELECT * FROM drift"),
     "drift_stale": (lambda s, d: q.stale_drift(q.fingerprints(listings(s, d).filter("raw_start < '2024-01-10'")), daily_history(s, d)).select(*DCOLS),
                     f"""WITH {LV}, p AS (SELECT source_name s, strftime(raw_start, '%Y-%m-%d') r, count(*) n, max(CAST(start_datetime AS DATE)) b FROM lv GROUP BY ALL),

@@ -29,7 +29,7 @@ from ..functions.similarity import CONTAINED_MIN, length_bound, ratio_at_least,
 from ..functions.text import identity_title, venue_key
 from ..functions.times import epoch_seconds
 from ..schema import missing
-from ..session import ensure_checkpoint_dir
+from ..session import keep
 from ..sources.registry import with_source_rank
 
 # --- fixed values ----------------------------------------------------------
@@ -39,12 +39,6 @@ VENUE_SIMILARITY = 0.7
 # ---------------------------------------------------------------------------
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so that a lost executor loses no result."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def with_keys(df: DataFrame) -> DataFrame:
     """Comparison columns: folded title ``t``, venue key ``v``, source ``src``, second ``sec``, hour ``hour``."""
     sec = epoch_seconds(F.col("start_datetime"))
@@ -113,7 +107,7 @@ def match_classes(a: DataFrame, b: DataFrame, links: DataFrame, offsets, gap_fil
     equal = (left.join(right.withColumnRenamed("tb", "ta"), ["hour", "ta"])
              .filter(gap_filter & (F.col("a") != F.col("b")))
              .withColumn("same_title", F.lit(True)).select(*cols))
-    alike = (left.join(links, "ta").join(right, ["hour", "tb"])
+    alike = (left.join(links, ["hour", "ta"]).join(right, ["hour", "tb"])
              .filter(gap_filter & (F.col("near") | (F.col("contained") & (F.col("va") != "") & (F.col("vb") != ""))))
              .withColumn("same_title", F.lit(False)).select(*cols))
     return _alike(equal.unionByName(alike))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ...settings import DEFAULT, Settings
 
@@ -21,6 +21,18 @@ def jobs():
             "drupal_listing": html_pages.drupal_listing, "indiecommerce": html_pages.indiecommerce}
 
 
-def extract_all(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Candidates of every platform the registry can name, in arrival order columns."""
-    return reduce(DataFrame.unionByName, [job(captures, registry, settings) for job in jobs().values()])
+def extract_all(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAULT, as_of=None) -> DataFrame:
+    """Candidates of every platform the registry can name. Text listings, which need a day to read dates by, join in with ``as_of``.
+
+    ``arrival_ix`` numbers the result from zero: run order, response, place in the payload, then the occurrence of a series. So every
+    occurrence is a row of its own for what follows.
+    """
+    from ..normalise import number_rows
+    from .text_listing import text_listing
+    found = [job(captures, registry, settings) for job in jobs().values()]
+    if as_of is not None:
+        found.append(text_listing(captures, registry, as_of, settings))
+    placed = reduce(DataFrame.unionByName, found)
+    columns = placed.columns
+    placed = placed.withColumn("_order", F.struct("arrival_ix", "start_datetime", "title", "source_url"))
+    return number_rows(placed, "_order").withColumn("arrival_ix", F.col("n").cast("bigint")).select(*columns)

@@ -12,11 +12,11 @@ MIN_DESCRIPTION = 20
 def responses(captures: DataFrame, registry: DataFrame, adapter: str) -> DataFrame:
     """A platform's good responses with their registry record as ``reg`` and the run position ``run_ix``.
 
-    The registry is small (checked on load), so numbering and broadcasting it is cheap.
+    Spark decides by the registry's size at run time whether it is broadcast.
     """
     order = Window.orderBy("rank", "slug", "name")
     known = registry.withColumn("run_ix", F.row_number().over(order).cast("bigint")).filter(F.col("adapter") == adapter)
-    side = F.broadcast(known.select(F.col("name").alias("source_name"), F.struct("url", "venue", "params").alias("reg"), "run_ix"))
+    side = known.select(F.col("name").alias("source_name"), F.struct("url", "venue", "params").alias("reg"), "run_ix")
     return captures.filter((F.col("status") < 400) & F.col("body").isNotNull()).join(side, "source_name")
 
 

@@ -218,7 +218,7 @@ def localist(captures: DataFrame, registry: DataFrame, settings: Settings = DEFA
 
 def failed_sources(captures: DataFrame, registry: DataFrame) -> DataFrame:
     """Sources whose response is not the shape its platform promises: failed, not empty."""
-    side = F.broadcast(registry.select(F.col("name").alias("source_name"), "adapter"))
+    side = registry.select(F.col("name").alias("source_name"), "adapter")
     rows = captures.filter("status < 400").join(side, "source_name")
     v = F.try_parse_json("body")
     lists = {"tribe": "$.events", "localist": "$.events", "squarespace": "$.upcoming"}

@@ -49,7 +49,7 @@ def freshness_summary(monitor: DataFrame) -> DataFrame:
 def volume_history(runs: DataFrame, keep: int = VOLUME_RUNS) -> DataFrame:
     """The last runs' counts as rows ``(run_id, source, events)``. ``runs`` has one row per run and source."""
     recent = runs.select("run_id").distinct().orderBy(F.col("run_id").desc()).limit(keep)
-    return runs.join(F.broadcast(recent), "run_id", "left_semi")
+    return runs.join(recent, "run_id", "left_semi")
 
 
 def volume_monitor(listings: DataFrame, history: DataFrame, registry: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def volume_monitor(listings: DataFrame, history: DataFrame, registry: DataFrame)
     """
     current = listings.groupBy(F.coalesce("source_name", F.lit("Unknown")).alias("source")).agg(F.count(F.lit(1)).alias("current"))
     past = history.groupBy("source").agg((F.sum("events") / F.count(F.lit(1))).alias("average"))
-    active = F.broadcast(registry.filter("status = 'active'").select(F.col("name").alias("source")))
+    active = registry.filter("status = 'active'").select(F.col("name").alias("source"))
     both = past.join(active, "source", "left_semi").join(current, "source", "left")
     now, avg = F.coalesce("current", F.lit(0)), F.col("average")
     severity = (F.when((now == 0) & (avg > 5), "CRITICAL")

@@ -81,7 +81,7 @@ def number_rows(df: DataFrame, order: str) -> DataFrame:
     """
     from pyspark.sql import Window
     from .dedup import keep
-    ranged = keep(df.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    ranged = keep(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))
     offsets = sizes.withColumn("off", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1

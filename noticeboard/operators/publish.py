@@ -141,8 +141,8 @@ def preserved_rows(stored: DataFrame, registry: DataFrame, skipped: DataFrame, p
     barren = ran.select(F.col(ran.columns[0]).alias("source_name")).join(
         produced.select(F.col(produced.columns[0]).alias("source_name")), "source_name", "left_anti")
     rescue = barren.union(reg.blocked(registry)).distinct().join(always, "source_name", "left_anti")
-    keep_all = stored.join(F.broadcast(always), "source_name", "left_semi")
-    keep_some = stored.filter(F.to_date("start_datetime") >= F.to_date(ntz(as_of))).join(F.broadcast(rescue), "source_name", "left_semi")
+    keep_all = stored.join(always, "source_name", "left_semi")
+    keep_some = stored.filter(F.to_date("start_datetime") >= F.to_date(ntz(as_of))).join(rescue, "source_name", "left_semi")
     return keep_all.unionByName(keep_some)
 
 

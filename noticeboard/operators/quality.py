@@ -262,7 +262,7 @@ def disappeared(current: DataFrame, history: DataFrame, active: DataFrame | None
     """Sources with history and no rows now. ``active=None`` (registry unreadable) checks them all."""
     absent = history.join(current.select("source"), "source", "left_anti")
     if active is not None:
-        absent = absent.join(F.broadcast(active.select(F.col("name").alias("source"))), "source", "left_semi")
+        absent = absent.join(active.select(F.col("name").alias("source")), "source", "left_semi")
     usual = (absent.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.median("events").alias("usual"))
              .filter((F.col("runs") >= MIN_RUNS_FOR_DRIFT) & (F.col("usual") >= MIN_EVENTS_FOR_DRIFT)))
     return usual.select(*_drift_row(F.lit("events"), F.lit("error"), F.lit(0), F.col("usual"),
@@ -379,7 +379,7 @@ def silent_sources(events: DataFrame, registry: DataFrame) -> DataFrame:
 
 def unregistered_sources(events: DataFrame, registry: DataFrame) -> DataFrame:
     present = events.groupBy(F.coalesce("source_name", F.lit("Unknown")).alias("name")).agg(F.count(F.lit(1)).alias("event_count"))
-    return present.join(F.broadcast(registry.select("name")), "name", "left_anti")
+    return present.join(registry.select("name"), "name", "left_anti")
 
 
 def findings_board(violations: DataFrame, drifts: DataFrame, silent: DataFrame, last_run: DataFrame, as_of_utc) -> DataFrame:

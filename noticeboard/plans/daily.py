@@ -39,7 +39,7 @@ def prepare(candidates: DataFrame, registry: DataFrame, venues: DataFrame, cache
 def daily_run(captures: DataFrame, registry: DataFrame, venues: DataFrame, cache: DataFrame, stored: DataFrame, history: DataFrame,
               as_of, as_of_utc, *, is_ci: bool = False, settings: Settings = DEFAULT, mode: str | None = None,
               force: bool = False, enforce_drift: bool = False) -> Run:
-    candidates = dedup.keep(extract_all(captures, registry, settings))
+    candidates = dedup.keep(extract_all(captures, registry, settings, as_of))
     merged, rejected = prepare(candidates, registry, venues, cache, as_of, settings)
     unique = publish.second_pass(merged, registry)
     listed, _ = publish.promote(unique, as_of_utc)

@@ -9,10 +9,11 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "noticeboard", cpus: str | int = "*", partitions: int = 8) -> SparkSession:
+def local_session(app: str = "noticeboard", cpus: str | int = "*", partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
+    """A session on this machine; ``checkpoints`` names the folder of stored steps, a new temporary one where it is left out."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,6 +22,7 @@ def local_session(app: str = "noticeboard", cpus: str | int = "*", partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="noticeboard-checkpoints-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -35,6 +37,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local"):
+    if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can read")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="noticeboard-checkpoints-"))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder, so that a lost executor loses no result."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

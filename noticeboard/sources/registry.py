@@ -98,8 +98,7 @@ def preserved_always(registry: DataFrame) -> DataFrame:
 
 def with_source_rank(df: DataFrame, registry: DataFrame, column: str = "source_name") -> DataFrame:
     """Add ``source_rank`` and ``source_manual``; a name the registry does not list ranks as an aggregator."""
-    ranks = F.broadcast(registry.select(F.col("name").alias(column), F.col("rank").alias("source_rank"),
-                                        (F.col("kind") == "manual").alias("source_manual")))
+    ranks = registry.select(F.col("name").alias(column), F.col("rank").alias("source_rank"), (F.col("kind") == "manual").alias("source_manual"))
     return (df.join(ranks, column, "left")
             .withColumn("source_rank", F.coalesce("source_rank", F.lit(UNKNOWN_SOURCE_RANK)))
             .withColumn("source_manual", F.coalesce("source_manual", F.lit(False))))

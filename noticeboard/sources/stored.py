@@ -20,6 +20,8 @@ _RAW = T.StructType([
 def read_listings_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A JSON array of listings, or ``{"events": [...]}``; a missing file is an empty table.
 
+    ``arrival_ix`` is the row's place in the files, unique in the result.
+
     Times keep their text in ``*_raw`` columns too, for the checks that judge the text.
     ``lines=True`` reads newline-delimited JSON, which Spark can split; a single
     JSON document is one task by nature.
@@ -42,7 +44,7 @@ def _typed(raw: DataFrame) -> DataFrame:
     for f in LISTING.fields:
         if isinstance(f.dataType, T.BooleanType):
             out = out.withColumn(f.name, F.coalesce(F.col(f.name), F.lit(False)))
-    return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("arrival_ix", F.monotonically_increasing_id())
 
 
 def canonical_order(df: DataFrame) -> DataFrame:

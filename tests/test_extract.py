@@ -176,8 +176,10 @@ def test_indiecommerce(spark):
 def test_text_listing_dates_and_times(spark):
     cases = {"7:30 PM": (19, 30), "6:00 - 8:00 PM": (18, 0), "11 - 1 pm": (11, 0), "Doors 7:00 PM / Show 8:30 PM": (20, 30), "19:30": (19, 30), "7:30": None, "noon": (12, 0), "TBA": "untimed",
              "6 - 8 PM": (18, 0), "Doors 7 PM": (19, 0), "13:00 PM": None, "afternoon": None, "": "untimed"}
+    frame = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.r for r in frame.select("t", text_listing.read_time("t").alias("r")).collect()}
     for t, want in cases.items():
-        hour, minute, status = text_listing._reading(t)
+        hour, minute, status = got[t]
         assert (want if isinstance(want, str) else (want and "timed") or "unreadable") == status and (not isinstance(want, tuple) or (hour, minute) == want), t
     card = lambda t, d, c: f"<article class='event'><h3 class='event-title'><a href='/e'>{t}</a></h3><p class='event-date'>{d}</p><p class='event-time'>{c}</p></article>"
     got = run(spark, text_listing.text_listing, "custom", [card("A", "Fri, Oct 9", "8 pm") + card("B", "Oct 9", "8 pm") + card("C", "Thu, October 9, 2026", "8 pm") + card("D", "October 9, 2026", "")], as_of="2026-10-01")
