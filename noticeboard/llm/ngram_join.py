@@ -93,19 +93,25 @@ def frequency_order(docs: DataFrame, width: int) -> Order:
 
     def total(key, frame):
         out = np.zeros(BLOCK, "uint32")
-        for c, wide in zip(frame["counts"], frame["wide"]):
-            out += np.frombuffer(zlib.decompress(c), "uint32" if wide else "uint8")
+        for c in frame["counts"]:
+            out += np.frombuffer(zlib.decompress(c), "uint8")
         return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(out.tobytes(), 1)]})
 
+    def ranked(key, frame):
+        out = np.zeros(BLOCK, "uint32")
+        for c in frame["counts"]:
+            out += np.frombuffer(zlib.decompress(c), "uint32")
+        rank = np.minimum(255, np.round(8 * np.log2(1.0 + out))).astype("uint8")
+        return pd.DataFrame({"block": [key[0]], "rank": [zlib.compress(rank.tobytes(), 1)], "mass": [np.bincount(rank, weights=out, minlength=256).tolist()]})
+
     parts = docs.select(F.col("text").cast("string")).mapInPandas(count, "block int, counts binary")
     # summed in two steps, so that no group grows with the number of tasks by more than its root
-    some = parts.withColumn("wide", F.lit(False)).groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64)).alias("g")).applyInPandas(total, "block int, counts binary")
-    whole = some.withColumn("wide", F.lit(True)).groupBy("block").applyInPandas(total, "block int, counts binary").collect()
-    n = np.zeros(1 << SKETCH_BITS, "uint32")                      # a fixed size, not the corpus's
-    for r in whole:
-        n[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), "uint32")
-    rank = np.minimum(255, np.round(8 * np.log2(1.0 + n))).astype("uint8")
-    mass = np.concatenate(([0.0], np.cumsum(np.bincount(rank, weights=n, minlength=256))))
+    some = parts.groupBy("block", F.pmod(F.spark_partition_id(), F.lit(64)).alias("g")).applyInPandas(total, "block int, counts binary")
+    rank, share = np.zeros(1 << SKETCH_BITS, "uint8"), np.zeros(256)             # a fixed size, not the corpus's
+    for r in some.groupBy("block").applyInPandas(ranked, "block int, rank binary, mass array<double>").toLocalIterator():
+        rank[r["block"] * BLOCK:(r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["rank"]), "uint8")
+        share += r["mass"]
+    mass = np.concatenate(([0.0], np.cumsum(share)))
     want = mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
     r = np.minimum(np.searchsorted(mass, want, side="right") - 1, 255)
     within = (want - mass[r]) / np.maximum(mass[r + 1] - mass[r], 1.0)
