@@ -41,14 +41,21 @@ def before_repeat(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(stops, "source_name", "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
 
 
-def source_outcomes(captures: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per source: ``failed`` with no rows and a refused response, else ``ok``; rows despite refusals are kept."""
+def source_outcomes(captures: DataFrame, candidates: DataFrame, malformed: DataFrame | None = None) -> DataFrame:
+    """Per source: ``failed`` with no rows and a refused response, else ``ok``; rows despite refusals are kept.
+
+    ``malformed(source_name, responses)`` names sources with responses that are not what their platform promises: failed, whatever else came.
+    """
     refused = captures.groupBy("source_name").agg(F.count_if(F.col("status") >= 400).alias("refused"), F.min(F.when(F.col("status") >= 400, F.struct("seq", "status", "url"))).alias("first"))
     rows = candidates.groupBy("source_name").agg(F.count(F.lit(1)).alias("returned"))
     out = refused.join(rows, "source_name", "left").withColumn("returned", F.coalesce("returned", F.lit(0)))
     bad = (F.col("returned") == 0) & (F.col("refused") > 0)
-    return out.select(F.col("source_name").alias("source"), F.when(bad, "failed").otherwise("ok").alias("status"), "returned",
-                      F.when(bad, F.concat(F.lit("0 rows after HTTP "), F.col("first.status").cast("string"), F.lit(" from "), F.col("first.url"))).alias("error"))
+    told = F.when(bad, F.concat(F.lit("0 rows after HTTP "), F.col("first.status").cast("string"), F.lit(" from "), F.col("first.url")))
+    if malformed is not None:
+        out = out.join(malformed, "source_name", "left")
+        told = F.when(F.col("responses") > 0, F.concat(F.col("responses").cast("string"), F.lit(" malformed responses"))).otherwise(told)
+        bad = bad | (F.coalesce("responses", F.lit(0)) > 0)
+    return out.select(F.col("source_name").alias("source"), F.when(bad, "failed").otherwise("ok").alias("status"), "returned", told.alias("error"))
 
 
 def page_images(pages: DataFrame) -> DataFrame:

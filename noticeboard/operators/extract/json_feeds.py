@@ -225,7 +225,7 @@ def failed_sources(captures: DataFrame, registry: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for name, path in lists.items():
         bad = bad | ((F.col("adapter") == name) & get(v, path, "array<variant>").isNull())
-    bad = bad | ((F.col("adapter") == "ical") & ~F.upper(F.substring("body", 1, 2000)).contains("BEGIN:VCALENDAR"))
+    bad = bad | ((F.col("adapter") == "ical") & ~F.rlike("body", F.lit("(?i)BEGIN:VCALENDAR")))
     broken = rows.filter(bad).groupBy("source_name").agg(F.count(F.lit(1)).alias("responses"))
     # a JSON-LD source fails only when none of its pages has any
     plain = (rows.filter("adapter = 'jsonld'").groupBy("source_name")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import dedup, normalise, publish, quality
 from ..operators.extract import checks, extract_all
+from ..operators.extract.json_feeds import failed_sources
 from ..operators.extract.text_listing import submissions
 from ..schema import CANDIDATE, conform
 from ..settings import DEFAULT, Settings
@@ -53,14 +54,41 @@ def daily_run(captures: DataFrame, registry: DataFrame, venues: DataFrame, cache
                             quality.check_drift(shapes, history, registry.filter("status = 'active'")), stored,
                             mode=mode, force=force, enforce_drift=enforce_drift)
     return Run(final, dedup.keep(decision), shapes, publish.diff_snapshots(stored, final), rejected,
-               checks.source_outcomes(captures, candidates))
+               checks.source_outcomes(captures, candidates, failed_sources(captures, registry)))
 
 
-def commit_run(run: Run, history: DataFrame, run_id: str, listings_path: str, history_path: str, quarantine_root: str) -> bool:
+def run_record(run: Run, run_id: str, duration_s: float | None = None) -> DataFrame:
+    """One row about a run, whether it was published or not. Lists hold one entry per source or reason."""
+    pairs = lambda df, key: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct(key, "n"))).alias("m"))
+    scrapers = run.outcomes.agg(F.sort_array(F.collect_list(F.struct("source", "status", "returned", "error"))).alias("scrapers"))
+    final = run.publish_set.agg(F.create_map(F.lit("final"), F.count(F.lit(1))).alias("counts"))
+    rejected = pairs(run.rejected, "reject_reason").withColumnRenamed("m", "rejected")
+    diff = pairs(run.diff, "change").withColumnRenamed("m", "diff")
+    blocking = run.decision.select(F.struct(F.when(F.col("blocking"), "block").otherwise("pass").alias("decision")).alias("gate"))
+    one = scrapers.join(final).join(rejected).join(diff).join(blocking)              # five one-row frames
+    return one.select(F.lit(run_id).alias("run_id"), F.lit(duration_s).cast("double").alias("duration_s"), "scrapers", "counts", "rejected", "diff", "gate")
+
+
+class Refused(ValueError):
+    """A write that error findings forbid."""
+
+
+def guarded_write(rows: DataFrame, findings: DataFrame, path: str) -> int:
+    """Write listings unless a finding is an error; the message names the first rules."""
+    errors = findings.filter("severity = 'error'").groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").limit(10).collect()
+    if errors:
+        raise Refused("not written: " + ", ".join(f"{r['rule']} x{r['n']}" for r in errors))
+    return st.write_listings(rows, path)
+
+
+def commit_run(run: Run, history: DataFrame, run_id: str, listings_path: str, history_path: str, quarantine_root: str,
+               runs_path: str | None = None) -> bool:
     """Publish a passing run and extend the history, or quarantine it. Returns whether it was published.
 
-    Paths name new versions, so a reader never sees a half-written table.
+    Paths name new versions, so a reader never sees a half-written table. ``runs_path`` gets a record of either outcome.
     """
+    if runs_path:
+        run_record(run, run_id).write.mode("append").parquet(runs_path)
     if run.decision.first()["blocking"]:
         h.write_quarantine(run.publish_set, run.decision, quality.report(run.decision), quarantine_root, run_id)
         return False
