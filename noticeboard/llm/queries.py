@@ -64,7 +64,7 @@ def op5_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    deduped = line_dedup.dedup_lines(documents(spark, sf), every_position=True)
+    deduped = line_dedup.dedup_lines(documents(spark, sf), every_position=True, short_lines=True)
     return deduped.select("doc_id", "text", "n_lines", "n_removed")
 
 

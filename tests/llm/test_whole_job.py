@@ -57,3 +57,10 @@ def test_line_dedup_looks_at_every_character(make):
     assert {(x["doc_id"], x["text"]) for x in got} == whole_lines(docs)
     removed = {x["doc_id"] for x in got if x["n_removed"]}
     assert not removed & set(range(18)) and {19, 21, 22, 27} <= removed
+
+
+def test_line_dedup_takes_short_repeats(make):
+    docs = [(i, "\n".join(["Share this", prose(500 + i, 14), "", " ", "Cookie policy" if i % 2 else f"page {i}", "Share this", "\t"])) for i in range(8)] + [(50, "Share this"), (51, "share this"), (52, "x")]
+    got = line_dedup.dedup_lines(make(docs), every_position=True, short_lines=True).collect()
+    assert {(x["doc_id"], x["text"]) for x in got} == whole_lines(docs, short=1)
+    assert sum(x["text"].split("\n").count("Share this") for x in got) == 1 and sum(x["n_removed"] for x in got) == 16 + 3
