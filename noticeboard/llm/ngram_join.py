@@ -141,9 +141,9 @@ def link_documents(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "set_hash", "prefix"]).astype({"doc_id": "Int64"})
 
     sets = stored(texts.select("doc_id", "text_hash", "text").mapInPandas(prefixes, "doc_id long, text_hash long, n int, set_hash binary, prefix array<long>"))
-    # one class per set; its first member stands for it
+    # one class per set; its first member stands for it where its text is read again, its smallest id is that which is not null
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    classes = sets.where("n > 0").groupBy("set_hash", "n").agg(first, F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("members"))
+    classes = sets.where("n > 0").groupBy("set_hash", "n").agg(first, F.min("doc_id").alias("least_id"), F.any_value("prefix").alias("prefix"), F.count(F.lit(1)).alias("members"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     postings = classes.select("node", "n", F.posexplode("prefix").alias("i", "gram"))
     groups = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("n", "node", "i")).alias("hub")).where("size > 1")
@@ -199,8 +199,8 @@ def link_documents(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
     if not across.isEmpty():
         roots = components(links.union(linked(across)))
 
-    named = classes.join(roots, "node", "left").select("set_hash", F.col("first.doc_id").alias("first_id"), F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(roots, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_set = named.join(least, "root").select("set_hash", "component_id")
     return (sets.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "set_hash").join(by_set, "set_hash", "left")
             .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))

@@ -2,9 +2,9 @@
 import collections
 import random
 
-from noticeboard.llm import line_dedup
+from noticeboard.llm import line_dedup, ngram_join
 
-from .test_operators import prose
+from .test_operators import brute_components, prose
 
 
 def whole_lines(docs, short=0):
@@ -64,3 +64,12 @@ def test_line_dedup_takes_short_repeats(make):
     got = line_dedup.dedup_lines(make(docs), every_position=True, short_lines=True).collect()
     assert {(x["doc_id"], x["text"]) for x in got} == whole_lines(docs, short=1)
     assert sum(x["text"].split("\n").count("Share this") for x in got) == 1 and sum(x["n_removed"] for x in got) == 16 + 3
+
+
+def test_ngram_join_null_id_among_copies(make):
+    text = prose(70, 60)
+    near = text.replace(" ", "  ") + " tail"
+    docs = [(None, text), (6, text), (5, text), (None, near), (9, near), (None, prose(71, 60)), (30, prose(72, 60)), (None, prose(72, 60))]
+    got = ngram_join.link_documents(make(docs), 5, 8, 10).collect()
+    found = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got)
+    assert found == brute_components(docs, 5, 8, 10) and {x["component_id"] for x in got if x["doc_id"] in (5, 6, 9)} == {5}
