@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, stored
+from .common import components, might_contain, stored
 from .tokens import batches
 
 SKETCH_BITS = 24                  # counters of the order sketch: 16 M of one byte, whatever the corpus
@@ -126,6 +126,11 @@ def _reaches(overlap: str, a: str, b: str, num: int, den: int) -> str:
 
 def link_documents(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id; documents link when den * overlap >= num * union."""
+    return _linked(docs, width, num, den).drop("root")
+
+
+def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The rows of ``link_documents`` with the root of their component, which groups without any doc_id have too."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     order = spark.sparkContext.broadcast(frequency_order(texts, width))
@@ -201,20 +206,26 @@ def link_documents(docs: DataFrame, width: int, num: int, den: int) -> DataFrame
 
     named = classes.join(roots, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_set = named.join(least, "root").select("set_hash", "component_id")
+    by_set = named.join(least, "root").select("set_hash", "component_id", "root")
     return (sets.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), "set_hash").join(by_set, "set_hash", "left")
-            .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the smallest id; repeated rows of it stay once.
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, once: bool = False) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: that with the smallest (doc_id, text_hash), null ids last.
 
-    Documents without words are in no group and stay.
+    Rows that repeat this document's id and text stay, or with ``once`` any one of them. Documents without words are in no group and stay.
     """
-    found = link_documents(docs, width, num, den)
-    gone = found.where("n_shingles > 0 AND NOT (doc_id <=> component_id)").select("doc_id", "text_hash").distinct()
-    columns = docs.columns
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("d")
-    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_gone"))
-    kept = hashed.join(gone, F.col("d.doc_id").eqNullSafe(F.col("_doc")) & (F.col("d._hash") == F.col("_gone")), "left_anti")
-    return kept.select(*(F.col(f"d.`{c}`") for c in columns))
+    found = stored(_linked(docs, width, num, den).where("n_shingles > 0").select("doc_id", "text_hash", "root"))
+    rows = found.groupBy("root", "doc_id", "text_hash").agg((F.count(F.lit(1)) > 1).alias("again"))
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("kept"))
+    judged = rows.join(kept, "root").withColumn("gone", ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))))
+    marks = stored(judged.where(F.col("gone") | (F.col("again") & F.lit(once))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_marked"), F.col("gone").alias("_gone")))
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    touched = might_contain(marks.select("_marked"), F.col("_hash"))
+    some = hashed.where(touched).join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_marked")), "left")
+    # rows without a mark get a key of their own
+    some = some.where("_gone IS NULL OR NOT _gone").withColumn("_own", F.when(F.col("_gone").isNull(), F.monotonically_increasing_id()))
+    some = some.dropDuplicates(["doc_id", "_hash", "_own"]) if once else some
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return hashed.where(~touched).select(*columns).union(some.select(*columns))

@@ -73,3 +73,12 @@ def test_ngram_join_null_id_among_copies(make):
     got = ngram_join.link_documents(make(docs), 5, 8, 10).collect()
     found = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got)
     assert found == brute_components(docs, 5, 8, 10) and {x["component_id"] for x in got if x["doc_id"] in (5, 6, 9)} == {5}
+
+
+def test_one_of_each_keeps_one_row_of_a_group(make):
+    text, other = prose(80, 60), prose(81, 60)
+    docs = [(5, text), (5, text), (5, text + " tail"), (6, text), (None, other), (None, other), (None, other + " tail"), (7, ""), (7, ""), (8, prose(82, 60)), (9, None), (None, text)]
+    kept = ngram_join.one_of_each(make(docs), once=True).select("doc_id", "text", "shard").collect()
+    assert len(kept) == 6 and {x["shard"] for x in kept} == {"clash"}
+    assert collections.Counter(x["doc_id"] for x in kept) == {5: 1, None: 1, 7: 2, 8: 1, 9: 1}
+    assert ngram_join.one_of_each(make([]), once=True).count() == 0
