@@ -25,7 +25,7 @@ from .tokens import batches
 
 SAMPLE = 2000
 BUCKETS = 1 << 16
-MOST_LANGUAGES = 64
+BLOCK = 1 << 14                    # trigrams whose rows of the model are summed at a time
 OVERLAP = 3.0                      # neighbouring trigrams tell the same thing about three times
 STRENGTH = {"host": 20.0, "domain": 50.0, "suffix": 100.0}
 _DROP = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
@@ -53,34 +53,37 @@ def trigrams(text: str | None) -> np.ndarray:
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and log P(trigram | language) from ``labelled(doc_id, text, lang)``."""
-    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # one row a labelled language
+    counts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], np.zeros((BUCKETS, 0), "float32")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])).otherwise(share)
+    at = {lang: i for i, lang in enumerate(langs)}
+    share = F.try_element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample / r["count"])))), F.col("lang"))
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)
 
     def count(frames):
-        table = np.zeros((len(langs), BUCKETS), "int64")
+        tables = {}
         for frame in batches(frames, "text"):
             for lang, text in zip(frame["lang"], frame["text"]):
-                table[langs.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
-        at = np.nonzero(table)
-        yield pd.DataFrame({"l": at[0], "g": at[1], "n": table[at]})
-
-    seen = labelled.where(F.col("lang").isin(*langs) & F.col("text").isNotNull() & drawn).select("lang", "text").mapInPandas(count, "l int, g int, n long")
+                if lang not in tables:
+                    tables[lang] = np.zeros(BUCKETS, "int64")
+                tables[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
+        for lang, table in tables.items():
+            g = np.nonzero(table)[0]
+            yield pd.DataFrame({"l": at[lang], "g": g, "n": table[g]})
+
+    seen = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & drawn).select("lang", "text").mapInPandas(count, "l int, g int, n long")
     table = np.full((BUCKETS, len(langs)), 0.1)
     for r in seen.groupBy("l", "g").agg(F.sum("n").alias("n")).toLocalIterator():            # at most languages x buckets
         table[r["g"], r["l"]] += r["n"]
-    return langs, np.log(table / table.sum(0)).astype("float32")
+    table /= table.sum(0)
+    return langs, np.log(table, out=table).astype("float32")
 
 
-def _softmax(cols: list[Column]) -> list[Column]:
-    top = F.greatest(*cols, F.lit(-1e300))
-    parts = [F.exp(c - top) for c in cols]
-    return [p / sum(parts[1:], parts[0]) for p in parts]
+def _softmax(rows: np.ndarray) -> np.ndarray:
+    parts = np.exp(rows - rows.max(1, keepdims=True))
+    return parts / parts.sum(1, keepdims=True)
 
 
 def identify(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
@@ -95,65 +98,63 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     model = pages.sparkSession.sparkContext.broadcast(table)
     key_type = pages.schema["key"].dataType.simpleString()
 
+    def likelihood(text: str) -> np.ndarray:
+        g = trigrams(text)
+        if not len(g) or not text.strip():
+            return np.zeros(len(langs))
+        return sum(model.value[g[i:i + BLOCK]].sum(0, dtype="float64") for i in range(0, len(g), BLOCK)) / OVERLAP
+
     def score(frames):
         for frame in frames:
+            if len(frame) == 0:
+                continue
             plain = [t if t is not None else visible_text(h) for t, h in zip(frame["text"], frame["html"])]
-            sums = [model.value[g].sum(0, dtype="float64") / OVERLAP if len(g := trigrams(t)) and t.strip() else np.zeros(len(langs)) for t in plain]
-            out = pd.DataFrame({"key": frame["key"], "address": frame["address"], "declared": [declared_language(h) for h in frame["html"]]})
-            for i in width:
-                out[f"t{i}"] = [s[i] for s in sums]
-            yield out
+            sums = np.stack([likelihood(t) for t in plain])
+            yield pd.DataFrame({"key": frame["key"], "address": frame["address"], "declared": [declared_language(h) for h in frame["html"]],
+                                "t": list(sums), "p": list(_softmax(sums))})
 
-    rows = pages.select("key", "address", "html", "text").mapInPandas(score, f"key {key_type}, address string, declared string, " + ", ".join(f"t{i} double" for i in width))
+    rows = pages.select("key", "address", "html", "text").mapInPandas(score, f"key {key_type}, address string, declared string, t array<double>, p array<double>")
     host = F.lower(F.regexp_extract("address", "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = rows.withColumn("host", F.when(F.col("address").isNotNull(), host))
     rows = rows.withColumn("domain", F.regexp_extract("host", "([^.]+\\.[^.]+)$", 1)).withColumn("suffix", F.regexp_extract("host", "([^.]+)$", 1))
     said = F.when(F.col("declared").isin(*langs), F.col("declared")).otherwise(F.when(F.col("declared").isNull(), "none").otherwise("other"))
-    scored = rows.withColumn("said", said)
-    for i, p in enumerate(_softmax([F.col(f"t{i}") for i in width])):
-        scored = scored.withColumn(f"p{i}", p)
-    scored = stored(scored)
-
-    sums = [F.sum(f"p{i}").alias(f"n{i}") for i in width]
-    whole = scored.agg(*sums).first()
-    everything = [(whole[f"n{i}"] or 0.0) + 1.0 for i in width]
-    prior = [x / sum(everything) for x in everything]
+    scored = stored(rows.withColumn("said", said))
+
+    # languages are the places of an array: t text, p probability by text, n expected counts, q smoothed prior
+    total = lambda name: F.array(*(F.coalesce(F.sum(F.get(name, F.lit(i))), F.lit(0.0)) for i in width)).alias("n")
+    everything = np.array(scored.agg(total("p")).first()["n"]) + 1.0
+    prior = everything / everything.sum()
     # P(said | language), from expected counts: languages + 2 rows
-    trust = {r["said"]: [r[f"n{i}"] for i in width] for r in scored.groupBy("said").agg(*sums).collect()}
+    trust = {r["said"]: np.array(r["n"]) for r in scored.groupBy("said").agg(total("p")).collect()}
     values = sorted({*trust, *langs, "none", "other"})
-    told = {v: [(trust.get(v, [0.0] * len(langs))[i] + 0.5) / (everything[i] + 0.5 * len(values)) for i in width] for v in values}
-
-    def smoothed(level: str, counts: DataFrame, parent: list[Column]) -> DataFrame:
-        n = sum((F.col(f"n{i}") for i in width[1:]), F.col("n0"))
-        return counts.withColumns({f"q_{level}{i}": (F.col(f"n{i}") + STRENGTH[level] * parent[i]) / (n + STRENGTH[level]) for i in width})
-
-    hosts = scored.where("host IS NOT NULL").groupBy("host", "domain", "suffix").agg(*sums)
-    hosts = stored(hosts)
-    up = [F.sum(f"n{i}").alias(f"n{i}") for i in width]
-    suffixes = smoothed("suffix", hosts.groupBy("suffix").agg(*up), [F.lit(p) for p in prior]).drop(*(f"n{i}" for i in width))
-    domains = hosts.groupBy("suffix", "domain").agg(*up).join(suffixes, "suffix")
-    domains = smoothed("domain", domains, [F.col(f"q_suffix{i}") for i in width]).select("suffix", "domain", *(f"q_domain{i}" for i in width))
-    known = hosts.join(domains, ["suffix", "domain"]).select("host", *(f"n{i}" for i in width), *(f"q_domain{i}" for i in width))
-    joined = scored.join(known, "host", "left")
-    others = [F.greatest(F.col(f"n{i}") - F.col(f"p{i}"), F.lit(0.0)) for i in width]
-    total = sum(others[1:], others[0]) + STRENGTH["host"]
-    logs = []
-    for i in width:
-        at_host = F.coalesce((others[i] + STRENGTH["host"] * F.col(f"q_domain{i}")) / total, F.lit(prior[i]))
-        heard = F.lit(told["other"][i])
-        for v in values:
-            heard = F.when(F.col("said") == v, told[v][i]).otherwise(heard)
-        logs.append(F.col(f"t{i}") + F.log(heard) + F.log(at_host))
-    fused = joined.withColumns({f"l{i}": x for i, x in enumerate(logs)})
-    fused = fused.withColumns({f"f{i}": x for i, x in enumerate(_softmax([F.col(f"l{i}") for i in width]))})
-
-    def best(name: str) -> Column:
-        top = F.greatest(*(F.col(f"{name}{i}") for i in width), F.lit(-1e300))
-        choice = F.lit(langs[-1])
-        for i in reversed(width):
-            choice = F.when(F.col(f"{name}{i}") == top, langs[i]).otherwise(choice)
-        return choice
-
-    heard = F.greatest(*(F.abs(f"t{i}") for i in width), F.lit(0.0)) > 0
-    return fused.select("key", best("f").alias("lang"), F.greatest(*(F.col(f"f{i}") for i in width), F.lit(0.0)).alias("probability"),
-                        F.when(heard, best("t")).alias("text_lang"), "declared", "host")
+    told = {v: (trust.get(v, np.zeros(len(langs))) + 0.5) / (everything + 0.5 * len(values)) for v in values}
+
+    def smoothed(level: str, parent: Column) -> Column:
+        """Expected counts ``n`` of ``rows`` pages, each of which has the weight one."""
+        return F.zip_with("n", parent, lambda n, q: (n + STRENGTH[level] * q) / (F.col("rows") + STRENGTH[level]))
+
+    hosts = stored(scored.where("host IS NOT NULL").groupBy("host", "domain", "suffix").agg(total("p"), F.count(F.lit(1)).alias("rows")))
+    corpus = F.array(*(F.lit(float(x)) for x in prior))
+    suffixes = hosts.groupBy("suffix").agg(total("n"), F.sum("rows").alias("rows")).select("suffix", smoothed("suffix", corpus).alias("q_suffix"))
+    domains = hosts.groupBy("suffix", "domain").agg(total("n"), F.sum("rows").alias("rows")).join(suffixes, "suffix")
+    domains = domains.select("suffix", "domain", smoothed("domain", F.col("q_suffix")).alias("q"))
+    known = hosts.join(domains, ["suffix", "domain"]).select("host", "n", "q")
+    joined = scored.join(known, "host", "left").select("key", "declared", "host", "said", "t", "p", "n", "q")
+
+    def fuse(frames):
+        names = np.array(langs, dtype=object)
+        for frame in frames:
+            if len(frame) == 0:
+                continue
+            text, own = np.stack(frame["t"]), np.stack(frame["p"])
+            at_host = np.tile(prior, (len(frame), 1))
+            there = frame["n"].notna().to_numpy()
+            if there.any():
+                others = np.maximum(np.stack(frame["n"][there]) - own[there], 0.0)
+                at_host[there] = (others + STRENGTH["host"] * np.stack(frame["q"][there])) / (others.sum(1, keepdims=True) + STRENGTH["host"])
+            fused = _softmax(text + np.log(np.stack([told[v] for v in frame["said"]])) + np.log(at_host))
+            heard = np.abs(text).max(1) > 0
+            yield pd.DataFrame({"key": frame["key"], "lang": names[fused.argmax(1)], "probability": fused.max(1),
+                                "text_lang": np.where(heard, names[text.argmax(1)], None), "declared": frame["declared"], "host": frame["host"]})
+
+    return joined.mapInPandas(fuse, f"key {key_type}, lang string, probability double, text_lang string, declared string, host string")

@@ -2,7 +2,7 @@
 import collections
 import random
 
-from noticeboard.llm import line_dedup, ngram_join
+from noticeboard.llm import language_id, line_dedup, ngram_join
 
 from .test_operators import brute_components, prose
 
@@ -82,3 +82,14 @@ def test_one_of_each_keeps_one_row_of_a_group(make):
     assert len(kept) == 6 and {x["shard"] for x in kept} == {"clash"}
     assert collections.Counter(x["doc_id"] for x in kept) == {5: 1, None: 1, 7: 2, 8: 1, 9: 1}
     assert ngram_join.one_of_each(make([]), once=True).count() == 0
+
+
+def test_more_languages_than_a_fixed_number(spark):
+    letters = lambda lang, seed: "".join(chr(0x4E00 + 40 * lang + random.Random(seed).randrange(3)) if i % 6 else " " for i, seed in enumerate(range(seed, seed + 120)))
+    labelled = [(lang * 10 + k, letters(lang, lang * 1000 + k), f"l{lang:02d}") for lang in range(70) for k in range(5 - (lang >= 64))]
+    langs, table = language_id.train(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    assert len(langs) == 70 and table.shape[1] == 70
+    pages = [(lang, f"http://h{lang % 3}.org/", f"<html lang='l{lang}'>" if lang % 2 else None, letters(lang, lang * 1000 + 500)) for lang in range(70)]
+    frame = spark.createDataFrame(pages, "key long, address string, html string, text string")
+    got = {r["key"]: r for r in language_id.identify(frame, langs, table).collect()}
+    assert all(got[lang]["lang"] == got[lang]["text_lang"] == f"l{lang:02d}" for lang in range(70))
