@@ -1,9 +1,11 @@
 """Registered queries of the training-data operators: name -> (query, SQL twin or None)."""
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, language_id, line_dedup, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
+from . import fingerprints, language_id, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -112,6 +114,13 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.when(picked, F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    return merkle.verify(merkle.manifest_of(docs, tampered=lowered))
+
+
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -123,4 +132,5 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_packing": (op10_packing, None),
+    "op12_merkle_manifest": (op12_merkle_manifest, None),
 }
