@@ -5,7 +5,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import fingerprints, language_id, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
+from . import alignment, fingerprints, language_id, line_dedup, merkle, minhash, mixing, ngram_join, packing, pii, quality_rules, sharding, token_files
 from .common import documents, shared_folder
 from .tokens import tokenizer_path
 
@@ -114,6 +114,10 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -121,6 +125,10 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.verify(merkle.manifest_of(docs, tampered=lowered))
 
 
+def op13_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.link_near_duplicates(documents(spark, sf), width=5, num=85, den=100)
+
+
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
     "op2_fingerprints": (op2_fingerprints, None),
@@ -132,5 +140,7 @@ QUERIES = {
     "op8_token_files": (op8_token_files, None),
     "op9_mixing": (op9_mixing, OP9_SQL),
     "op10_packing": (op10_packing, None),
+    "op11_alignment": (op11_alignment, None),
     "op12_merkle_manifest": (op12_merkle_manifest, None),
+    "op13_minhash": (op13_minhash, None),
 }
