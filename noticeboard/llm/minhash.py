@@ -7,9 +7,9 @@ probability equal to the sets' Jaccard similarity. ``BANDS`` runs of ``ROWS`` sl
 * Documents with equal sets are one class and travel once, so copies make no candidates.
 * In a bucket every class is a candidate with one hub, its smallest class: a star, never all pairs. Hubs are the smallest by one global number,
   so a group of near copies has the same few hubs in all its buckets.
-* Links are confirmed on the full sets. Where a bucket is then left in several components, the classes outside its largest component
-  become hubs in turn, few at first and more in each round, until every two classes of the bucket that are not connected have been compared. So
-  no link between two classes that share a bucket is lost, and what is already connected is not compared again.
+* Links are confirmed on the full sets. Where a bucket is then left in several components, the classes outside its largest component are
+  compared with those of other components, inside the join. So no link between two classes that share a bucket is lost, what is already
+  connected is not compared again, and no pairs but links come out of it.
 * A pair at similarity 0.85 shares no bucket with probability (1 - 0.85 ** ROWS) ** BANDS, under one in 100,000.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer words than ``width`` make one shingle of all words; rows with null or
@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, might_contain, stored
 from .ngram_join import ngrams
@@ -30,7 +30,6 @@ from .tokens import batches
 ROWS, BANDS = 9, 45
 SLOTS = ROWS * BANDS
 ATTEMPTS = 4096                   # beyond them an empty bin borrows from the next full one: with two full bins under one in 10**8 bins gets there
-FIRST_HUBS = 16                   # hubs a bucket in the first round after the stars; four times as many in each further one
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -104,9 +103,8 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFra
     return texts, rows.drop("bands"), stored(grouped.withColumn("node", F.xxhash64("set_hash")))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` of classes whose full sets reach the threshold; sets are made again from the texts, once a class."""
-    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+def _sets(nodes: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``node, grams``: the full sets of the stored ``nodes(node)``, made again from the texts, once a class."""
     wanted = stored(classes.join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")))
     some = texts.where(might_contain(wanted.select("_hash"), F.col("text_hash")))
     found = some.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).dropDuplicates(["node"])
@@ -115,12 +113,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int
         for frame in batches(frames, "text"):
             yield pd.DataFrame({"node": frame["node"], "grams": [ngrams(t, width).view("int64") for t in frame["text"]]})
 
-    sets = stored(found.select("node", "text").mapInPandas(shingled, "node long, grams array<long>"))
+    return stored(found.select("node", "text").mapInPandas(shingled, "node long, grams array<long>"))
+
+
+def _reach(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two full sets reach the threshold; sizes settle most pairs before any set is met with another."""
+    m, n = F.size(x).cast("long"), F.size(y).cast("long")
+    return (F.least(m, n) * den >= F.greatest(m, n) * num) & (F.size(F.array_intersect(x, y)) * (num + den) >= (m + n) * num)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Those of the distinct ``pairs(a, b)`` of classes whose full sets reach the threshold."""
+    sets = _sets(stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), texts, classes, width)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b"))
-    # pair by pair in the JVM: two long texts' sets never wait in a batch with thousands of others
-    overlap = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("all"))
-    return stored(overlap.where(F.col("both") * (num + den) >= F.col("all") * num).select("a", "b"))
+    return stored(both.where(_reach("x", "y", num, den)).select("a", "b"))
+
+
+def across(members: DataFrame, roots: DataFrame, texts: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links between classes of a bucket that the stars left in different components: ``a, b``.
+
+    Of two such classes at least one lies outside the bucket's largest component, so those are met with all others of the bucket. They are compared inside
+    the join, each pair in the first bucket it shares, so that only links come out of it, never pairs.
+    """
+    named = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    named = stored(named.join(open_.select("bucket", "main"), "bucket"))
+    sets = _sets(stored(named.select("node").distinct()), texts, classes, width).join(classes.select("node", "bands"), "node")
+    full = stored(named.join(sets, "node"))
+    x, y = full.where("root <> main").alias("x"), full.alias("y")
+    once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
+    # two classes outside the largest component meet twice; the smaller root asks
+    turn = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.root") < F.col("y.root")))
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & turn & (F.least(F.size("x.grams"), F.size("y.grams")) * den >= F.greatest(F.size("x.grams"), F.size("y.grams")) * num)
+                 & once & _reach("x.grams", "y.grams", num, den))
+    return stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
 def link_near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: int = 100) -> DataFrame:
@@ -130,35 +158,13 @@ def link_near_duplicates(docs: DataFrame, width: int = 5, num: int = 85, den: in
     hubs = stored(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("hub")).where("size > 1").select("bucket", "hub"))
     members = spread.where(might_contain(hubs.select("bucket"), F.col("bucket"))).join(hubs, "bucket")
     members = stored(members.select("bucket", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    able = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}"  # noqa: E731  sizes alone settle most
-    tested = stored(members.where(f"node <> hub AND {able('n', 'hub_n')}").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = confirmed(tested, texts, classes, width, num, den)
+    able = f"least(n, hub_n) * {den} >= greatest(n, hub_n) * {num}"
+    star = stored(members.where(f"node <> hub AND {able}").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    links = confirmed(star, texts, classes, width, num, den)
     roots = stored(components(links))
-
-    places, done, most = members.select("bucket", "node", "n"), None, FIRST_HUBS
-    while True:
-        named = places.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = named.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        open_ = parts.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        named = stored(named.join(open_.select("bucket", "main"), "bucket"))
-        outside = named.where("root <> main")
-        if done is not None:
-            outside = outside.join(done, ["bucket", "node"], "left_anti")
-        # the row limit is pushed below the shuffle, so a large bucket stays spread
-        nth = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        next_hubs = stored(outside.withColumn("nth", nth).where(F.col("nth") <= most).select("bucket", "node", "n", "root"))
-        if next_hubs.isEmpty():
-            break
-        x, y = next_hubs.alias("x"), named.alias("y")
-        met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & F.expr(able("x.n", "y.n")))
-        met = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        fresh = stored(met.join(tested, ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            tested = stored(tested.union(fresh))
-            links = stored(links.union(confirmed(fresh, texts, classes, width, num, den)))
-            roots = stored(components(links))
-        finished = next_hubs.select("bucket", "node")
-        done, most = finished if done is None else stored(done.union(finished)), most * 4
+    more = across(members, roots, texts, classes, width, num, den)
+    if not more.isEmpty():
+        roots = stored(components(links.union(more)))
 
     named = classes.join(roots, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
