@@ -19,6 +19,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 
@@ -34,6 +35,10 @@ CHUNK = 1 << 16
 DENSE = CHUNK // 8                # bytes of a plain bitmap; a list of places is always shorter
 MERGE_LINKS = 1_000_000           # links gathered before they are merged into the chunk's bitmaps
 MOST_ENTRIES = 6_000_000          # places in a chunk's bitmaps, which bounds a task's memory
+# --- fixed values: how byte-level vocabularies split a text before merging ---
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# ------------------------------------------------------------------------------
+COMMON_CHARACTERS = "\u0250"      # below it (Latin with its extensions) both libraries know the same letters, digits and blanks; a test compares every one
 _LOADED: dict[tuple[str, str], "Tokenizers"] = {}
 
 
@@ -45,7 +50,11 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Tokenizers:
-    """Both tokenizers with their tables: bytes and byte length of every id, and ids written in decimal."""
+    """Both tokenizers with their tables: bytes and byte length of every id, and ids written in decimal.
+
+    Where A's file is plain byte-pair merging in the order of its ids, texts of common characters are encoded by the other library for such vocabularies, which
+    is given A's own entries: the same ids, several times as fast. All other texts, and other files, go to A itself.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,35 +70,68 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", x) else x.replace("▁", " ").encode() for x in pieces]
         self.a_length, self.b_length = (np.array([len(x) for x in table], "int64") for table in (self.a_bytes, self.b_bytes))
-        self.a_decimal, self.b_decimal = (np.array([b"%d" % i for i in range(len(table))], object) for table in (self.a_bytes, self.b_bytes))
+        # ids in decimal with the mark that follows them: A inside and at the end of a group, then B
+        self.marked = [b"%d%s" % (i, mark) for table, mark in ((self.a_bytes, b","), (self.a_bytes, b"|"), (self.b_bytes, b","), (self.b_bytes, b";")) for i in range(len(table))]
+        self.fast = self._fast(a_path)
+
+    def _fast(self, a_path: str):
+        """An encoder of the same ids from A's own entries and split pattern, or None where A is more than merges in the order of ids."""
+        with open(a_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, split = spec["model"].get("vocab"), spec.get("pre_tokenizer") or {}
+        special = {t["content"] for t in spec.get("added_tokens") or ()}
+        plain = (spec["model"].get("type") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                 and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")))
+        if not plain:
+            return None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [vocab["".join(pair)] for pair in pairs]
+        if any(x >= y for x, y in zip(made, made[1:])) or len(set(made)) + 256 != len(vocab) - sum(t in vocab for t in special) or min(made, default=256) < 256:
+            return None
+        import tiktoken
+        ranks = {self.a_bytes[i]: i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("alignment", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        if self.fast is not None:
+            for i, t in enumerate(texts):
+                if t.isascii() or max(t) < COMMON_CHARACTERS:
+                    out[i] = np.array(self.fast.encode_ordinary(t), "int64")
+        rest = [i for i, x in enumerate(out) if x is None]
+        if rest:
+            for i, e in zip(rest, self.a.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = np.array(e.ids, "int64")
+        return out
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of each text by A and B; None where either does not give back the text."""
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        a = self.encode_a([" " + t for t in texts])
         b = self.b.encode(texts, out_type=int, num_threads=1)
         out = []
         for text, x, y in zip(texts, a, b):
-            raw, ids = b" " + text.encode(), x.ids
-            same = bool(text) and b"".join(map(self.a_bytes.__getitem__, ids)) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
-            out.append((np.array(ids, "int64"), np.array(y, "int64")) if same else None)
+            raw = b" " + text.encode()
+            same = bool(text) and b"".join(map(self.a_bytes.__getitem__, x.tolist())) == raw and b"".join(map(self.b_bytes.__getitem__, y)) == raw
+            out.append((x, np.array(y, "int64")) if same else None)
         return out
 
-    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(group of each A token, group of each B token, A ids and B ids of the links): tokens are never empty, so a group ends in one link."""
+    def groups(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens of A and of B end a group, in equal numbers: tokens are never empty, so every group ends in one link."""
         a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
-        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        return (np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends), a[np.searchsorted(a_ends, shared)], b[np.searchsorted(b_ends, shared)])
-
-    def written(self, a: np.ndarray, b: np.ndarray, a_group: np.ndarray, b_group: np.ndarray) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``."""
-        n = len(a) + len(b)
-        text = np.empty(2 * n, object)
-        place = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
-        text[0::2] = np.concatenate((self.a_decimal[a], self.b_decimal[b]))[place]
-        a_last, b_last = (np.append(g[1:] != g[:-1], True) for g in (a_group, b_group))
-        marks = np.array([b",", b"|", b";"], object)
-        text[1::2] = marks[np.concatenate((a_last.astype(int), 2 * b_last.astype(int)))[place]]
-        return b"".join(text[:-1])
+        marks = np.zeros(int(a_ends[-1]) + 1, "int8")
+        marks[a_ends] = 1
+        marks[b_ends] += 1
+        return marks[a_ends] == 2, marks[b_ends] == 2
+
+    def written(self, a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> bytes:
+        """``a1,a2|b1;a3|b2,b3``: each group's A tokens, then its B tokens."""
+        a_upto, b_upto = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        n_a, n_b = len(self.a_bytes), len(self.b_bytes)
+        codes = np.empty(len(a) + len(b), "int64")
+        codes[np.arange(len(a)) + np.concatenate(([0], b_upto))[a_group]] = a + n_a * a_last
+        codes[np.arange(len(b)) + a_upto[b_group]] = 2 * n_a + b + n_b * b_last
+        return b"".join(map(self.marked.__getitem__, codes.tolist()))[:-1]
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
@@ -219,10 +261,11 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> tuple[DataFrame, DataFra
                     chunk.add(np.empty(0, "int64"))
                 else:
                     a, b = ids
-                    a_group, b_group, a_link, b_link = tools.groups(a, b)
-                    digest = hashlib.sha256(tools.written(a, b, a_group, b_group)).hexdigest()
-                    rows.append((key, doc_id, len(a), len(b), int(a_group[-1]) + 1, len(a_link), digest))
-                    chunk.add(a_link << 32 | b_link)
+                    a_last, b_last = tools.groups(a, b)
+                    digest = hashlib.sha256(tools.written(a, b, a_last, b_last)).hexdigest()
+                    links = a[a_last] << 32 | b[b_last]
+                    rows.append((key, doc_id, len(a), len(b), len(links), len(links), digest))
+                    chunk.add(links)
                 if chunk.full():
                     yield from postings()
                     chunk, number = _Chunk(), number + 1

@@ -89,6 +89,20 @@ def test_alignment_equals_plain_python(make, monkeypatch, merge_links, most_entr
     assert scores == {p: (sum(p in mine for mine in links), n) for p, n in count.items()}
 
 
+def test_fast_encoder_gives_the_same_ids():
+    from tokenizers import Tokenizer
+    tools, plain = alignment.tokenizers(A, B), Tokenizer.from_file(A)
+    plain.encode_special_tokens = True
+    assert tools.fast is not None
+    r = random.Random(6)
+    odd = [chr(c) for c in range(ord(alignment.COMMON_CHARACTERS))]
+    texts = [f for c in odd for f in (c, " " + c, c * 3, f"a{c}b", f"1{c}2", f"a {c} b", f"a{c} {c}b", f"'{c}s", f"  {c}  {c}\n{c}")]
+    texts += ["".join(r.choice(odd) for _ in range(r.randrange(1, 60))) for _ in range(3000)] + [t or "" for _, t in TEXTS]
+    texts += ["".join(r.choice("abcXYZ 0'\n\té.") for _ in range(200)) for _ in range(500)] + ["they'll've it's I'M don't <|endoftext|>"]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tools.encode_a(texts)] == want
+
+
 def test_containers(spark):
     r = random.Random(1)
     sets = [set(), {0}, {65535}, set(range(0, 65536, 3)), set(r.sample(range(65536), 4095)), set(r.sample(range(65536), 4096)), set(range(65536)), set(range(100, 3000)), set(range(3000, 5000))]
