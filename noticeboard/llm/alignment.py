@@ -70,8 +70,9 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", x) else x.replace("▁", " ").encode() for x in pieces]
         self.a_length, self.b_length = (np.array([len(x) for x in table], "int64") for table in (self.a_bytes, self.b_bytes))
-        # ids in decimal with the mark that follows them: A inside and at the end of a group, then B
-        self.marked = [b"%d%s" % (i, mark) for table, mark in ((self.a_bytes, b","), (self.a_bytes, b"|"), (self.b_bytes, b","), (self.b_bytes, b";")) for i in range(len(table))]
+        # ids in decimal with the mark that follows them, as bytes padded with zeros: A inside and at the end of a group, then B
+        marked = [b"%d%s" % (i, mark) for table, mark in ((self.a_bytes, b","), (self.a_bytes, b"|"), (self.b_bytes, b","), (self.b_bytes, b";")) for i in range(len(table))]
+        self.marked = np.array(marked).view("uint8").reshape(len(marked), -1)
         self.fast = self._fast(a_path)
 
     def _fast(self, a_path: str):
@@ -131,7 +132,8 @@ class Tokenizers:
         codes = np.empty(len(a) + len(b), "int64")
         codes[np.arange(len(a)) + np.concatenate(([0], b_upto))[a_group]] = a + n_a * a_last
         codes[np.arange(len(b)) + a_upto[b_group]] = 2 * n_a + b + n_b * b_last
-        return b"".join(map(self.marked.__getitem__, codes.tolist()))[:-1]
+        text = self.marked[codes].ravel()
+        return text[text != 0].tobytes()[:-1]
 
 
 def tokenizers(a_path: str, b_path: str) -> Tokenizers:
