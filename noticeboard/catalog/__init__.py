@@ -2,5 +2,5 @@
 from importlib import import_module
 
 ALL: dict = {}
-for _part in ("quality_queries", "serving_queries", "listing_queries", "page_queries", "extract_queries"):
+for _part in ("quality_queries", "serving_queries", "listing_queries", "duplicate_queries", "page_queries", "extract_queries", "run_queries"):
     ALL.update(import_module(f"{__name__}.{_part}").QUERIES)

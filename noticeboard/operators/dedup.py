@@ -16,21 +16,25 @@ taken becomes a leader and takes every later untaken row it duplicates. That is
   match each other, and whether two classes match depends only on their texts
   (and on the two sources differing). So pairs are only ever formed between
   classes, never within a group of copies.
-* A node leads exactly when no earlier undecided node matches it. Each round
-  settles every node for which that is already known, for the whole table at
-  once, with joins that are linear in the class pairs. Two members of a class are
-  enough to know the earliest member whose source differs from a given one.
+* The connected components of the matching classes are independent, so each is
+  replayed in order by one task. Two leaders of a class are enough to know the
+  earliest one whose source differs from a given one.
+* A component too large for one task is settled by rounds instead: a node leads
+  exactly when no earlier undecided node matches it, and each round settles every
+  node for which that is already known, for the whole table at once, with joins
+  that are linear in the class pairs.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.similarity import CONTAINED_MIN, length_bound, ratio_at_least, title_links
+from ..functions.similarity import alike_pairs, link_stages, number_texts, title_links
 from ..functions.text import identity_title, venue_key
 from ..functions.times import epoch_seconds
 from ..schema import missing
 from ..session import keep
 from ..sources.registry import with_source_rank
+from . import replay
 
 # --- fixed values ----------------------------------------------------------
 WINDOW_SECONDS = 3600
@@ -80,56 +84,68 @@ def interval_pair_counts(df: DataFrame) -> DataFrame:
                                       .otherwise(F.col("n") * F.col("m"))).alias("pairs")))
 
 
-def _titles(classes: DataFrame) -> DataFrame:
-    return classes.select("hour", "t").distinct()
+def number_classes(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes with ``tid`` and ``vid``, titles, venues): titles and venue names as numbers; a class without a venue has no ``vid``."""
+    titles, venues = number_texts(classes.select("t")), number_texts(classes.filter("v <> ''").select("v"), "v")
+    numbered = classes.join(titles, "t").join(venues.select(F.col("tid").alias("vid"), F.col("t").alias("v")), "v", "left")
+    return keep(numbered), titles, venues
 
 
-def _alike(pairs: DataFrame, threshold_titles_done: bool = True) -> DataFrame:
-    """Keep directed pairs whose venues agree; ``va``/``vb`` in argument order."""
-    known = (F.col("va") != "") & (F.col("vb") != "")
-    open_ = ~known | (F.col("va") == F.col("vb"))
-    checked = pairs.filter(open_ | length_bound(F.col("va"), F.col("vb"), VENUE_SIMILARITY))
-    settled = checked.filter(open_)
-    compared = (checked.filter(~open_)
-                .withColumn("_ok", ratio_at_least(VENUE_SIMILARITY)("va", "vb")).filter("_ok").drop("_ok"))
-    return settled.unionByName(compared)
-
-
-def match_classes(a: DataFrame, b: DataFrame, links: DataFrame, offsets, gap_filter) -> DataFrame:
+def match_classes(a: DataFrame, b: DataFrame, links: DataFrame, venues: DataFrame, offsets, gap_filter) -> DataFrame:
     """Directed class pairs (a first) that match by title and venue and start close enough.
 
-    ``a`` and ``b`` have ``cid, sec, hour, t, v``.
+    ``a`` and ``b`` have ``cid, sec, hour, tid, vid``. Pairs travel as numbers; each distinct pair of venue names is compared once.
     """
     left = a.select(F.explode(F.array(*[F.col("hour") + o for o in offsets])).alias("hour"),
-                    F.col("cid").alias("a"), F.col("sec").alias("sec_a"), F.col("t").alias("ta"), F.col("v").alias("va"))
-    right = b.select("hour", F.col("cid").alias("b"), F.col("sec").alias("sec_b"), F.col("t").alias("tb"), F.col("v").alias("vb"))
+                    F.col("cid").alias("a"), F.col("sec").alias("sec_a"), F.col("tid").alias("ta"), F.col("vid").alias("va"))
+    right = b.select("hour", F.col("cid").alias("b"), F.col("sec").alias("sec_b"), F.col("tid").alias("tb"), F.col("vid").alias("vb"))
     cols = ["a", "b", "sec_a", "sec_b", "va", "vb", "same_title"]
     equal = (left.join(right.withColumnRenamed("tb", "ta"), ["hour", "ta"])
              .filter(gap_filter & (F.col("a") != F.col("b")))
              .withColumn("same_title", F.lit(True)).select(*cols))
-    alike = (left.join(links, ["hour", "ta"]).join(right, ["hour", "tb"])
-             .filter(gap_filter & (F.col("near") | (F.col("contained") & (F.col("va") != "") & (F.col("vb") != ""))))
+    linked = links.select("hour", F.col("a").alias("ta"), F.col("b").alias("tb"), "near", "contained")
+    alike = (left.join(linked, ["hour", "ta"]).join(right, ["hour", "tb"])
+             .filter(gap_filter & (F.col("near") | (F.col("contained") & F.col("va").isNotNull() & F.col("vb").isNotNull())))
              .withColumn("same_title", F.lit(False)).select(*cols))
-    return _alike(equal.unionByName(alike))
+    pairs = keep(equal.unionByName(alike))
+    open_ = F.col("va").isNull() | F.col("vb").isNull() | (F.col("va") == F.col("vb"))
+    names = pairs.filter(~open_).select(F.col("va").alias("a"), F.col("vb").alias("b")).distinct()
+    close = alike_pairs(names, venues, VENUE_SIMILARITY).toDF("va", "vb")
+    return pairs.filter(open_).unionByName(pairs.filter(~open_).join(close, ["va", "vb"]).select(*cols))
 
 
-def duplicate_nodes(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, classes, directed class edges). See the module docstring."""
+def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, classes, titles, venues)."""
     nodes = keep(with_keys(df.filter(F.col("start_datetime").isNotNull()))
                  .groupBy("src", "sec", "hour", "t", "v")
                  .agg(F.min("arrival_ix").alias("ix"), F.count(F.lit(1)).alias("copies")))
-    classes = keep(nodes.groupBy("sec", "hour", "t", "v").agg(F.min("ix").alias("cid"), F.count(F.lit(1)).alias("sources")))
-    titles = _titles(classes)
-    links = keep(title_links(titles, titles, TITLE_SIMILARITY, 2, contain=True, offsets=(0, 1)))
+    classes = nodes.groupBy("sec", "hour", "t", "v").agg(F.min("ix").alias("cid"), F.count(F.lit(1)).alias("sources"))
+    return nodes, *number_classes(classes)
+
+
+def duplicate_nodes(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, classes, directed class edges). See the module docstring."""
+    nodes, classes, titles, venues = _classes(df)
+    hours = classes.select("hour", "tid").distinct()
+    links = keep(title_links(hours, hours, titles, TITLE_SIMILARITY, 2, contain=True, offsets=(0, 1)))
     # a leads, so it starts no later; equal starts keep both directions (arrival decides per node)
     gap = F.col("sec_b") - F.col("sec_a")
-    edges = match_classes(classes, classes, links, (0, 1), (gap >= 0) & (gap <= WINDOW_SECONDS))
+    edges = match_classes(classes, classes, links, venues, (0, 1), (gap >= 0) & (gap <= WINDOW_SECONDS))
     edges = edges.select("a", "b", "sec_a", "sec_b",
                          (F.col("same_title") & (gap == 0)
-                          & ((F.col("va") == "") | (F.col("vb") == ""))).alias("any_source"))
+                          & (F.col("va").isNull() | F.col("vb").isNull())).alias("any_source"))
     return nodes, classes, keep(edges)
 
 
+def pair_stages(df: DataFrame) -> DataFrame:
+    """One row on the work of the duplicate search: rows, nodes and classes, tokens filed, candidate and compared title pairs, alike ones, class pairs."""
+    nodes, classes, titles, _ = _classes(df)
+    hours = classes.select("hour", "tid").distinct()
+    one = lambda d, name: d.agg(F.count(F.lit(1)).alias(name))
+    stages = link_stages(hours, hours, titles, TITLE_SIMILARITY, 2, offsets=(0, 1))
+    return one(df, "rows").join(one(nodes, "nodes")).join(one(classes, "classes")).join(stages).join(one(duplicate_nodes(df)[2], "class_pairs"))     # one-row frames
+
+
 def _first_two(members: DataFrame, key: str) -> DataFrame:
     """Per key: the earliest member and the earliest one with another source, in columns f1, f2.
 
@@ -163,14 +179,9 @@ def _earliest_taker(src, t0, t1, t2):
     return F.least(t0, other)
 
 
-def sweep(nodes: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Settle the greedy sweep. Returns ``src, sec, t, v, ix, copies, leader_ix`` for every node."""
-    cls = classes.select("sec", "t", "v", "cid")
-    members = nodes.join(cls, ["sec", "t", "v"])
-    linked = edges.select(F.col("a").alias("cid")).union(edges.select(F.col("b").alias("cid"))).distinct()
-    members = keep(members.join(linked.withColumn("linked", F.lit(True)), "cid", "left"))
-    alone = members.filter("linked IS NULL").withColumn("leader_ix", F.col("cid"))
-    undecided = members.filter("linked").select("cid", "sec", "ix", "src")
+def _sweep_by_rounds(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``cid, src, leader_ix`` of members in components that are too large to be replayed by one task."""
+    undecided = members.select("cid", "sec", "ix", "src")
     settled = None
     while True:
         two = _first_two(undecided, "cid")
@@ -199,16 +210,33 @@ def sweep(nodes: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     touch = _touching(settled, edges)
     me = F.struct("sec", "ix")
     taker = _earliest_taker(F.col("src"), F.col("t0"), F.col("t1"), F.col("t2"))
-    joined = members.filter("linked").join(lead, "cid", "left").join(touch, "cid", "left")
-    decided = joined.withColumn("leader_ix", F.least(F.when(taker < me, taker), F.when(F.col("own") <= me, F.col("own")))["ix"])
+    joined = members.join(lead, "cid", "left").join(touch, "cid", "left")
+    return joined.select("cid", "src", F.least(F.when(taker < me, taker), F.when(F.col("own") <= me, F.col("own")))["ix"].alias("leader_ix"))
+
+
+def sweep(nodes: DataFrame, classes: DataFrame, edges: DataFrame, largest: int | None = None) -> DataFrame:
+    """Settle the greedy sweep. Returns ``src, sec, t, v, ix, copies, leader_ix`` for every node."""
+    members = nodes.join(classes.select("sec", "t", "v", "cid"), ["sec", "t", "v"])
+    roots = keep(replay.label_components(edges.select("a", "b")))
+    members = keep(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left"))
+    alone = members.filter("root IS NULL").withColumn("leader_ix", F.col("cid"))
+    linked = members.filter("root IS NOT NULL")
+    rooted = edges.join(roots.withColumnRenamed("node", "a"), "a")
+    rows = replay.row(rooted, replay.LINK, a="a", b="b", flag="any_source").union(replay.row(linked, replay.MEMBER, a="cid", o1="sec", o2="ix", src="src"))
+    large = replay.split_by_size(roots, [rows.select("root")], largest)
+    decided = replay.replay(rows.join(large, "root", "left_anti"), replay.lead, "cid long, src string, sec long, ix long, leader_ix long").select("cid", "src", "leader_ix")
+    if not large.isEmpty():
+        decided = decided.unionByName(_sweep_by_rounds(keep(linked.join(large, "root", "left_semi")), keep(rooted.join(large, "root", "left_semi"))))
     cols = ["src", "sec", "t", "v", "ix", "copies", "leader_ix"]
-    return alone.select(*cols).unionByName(decided.select(*cols))
+    return alone.select(*cols).unionByName(linked.join(decided, ["cid", "src"]).select(*cols))
+
+
 
 
-def assign_groups(df: DataFrame) -> DataFrame:
+def assign_groups(df: DataFrame, largest: int | None = None) -> DataFrame:
     """Every row with ``group_ix`` (arrival of its leader) and ``group_size``."""
     nodes, classes, edges = duplicate_nodes(df)
-    assigned = keep(sweep(nodes, classes, edges))
+    assigned = keep(sweep(nodes, classes, edges, largest))
     sizes = (assigned.groupBy("leader_ix").agg(F.sum("copies").alias("group_size")).filter("group_size > 1"))
     grouped = assigned.join(sizes, "leader_ix").select("src", "sec", "t", "v", F.col("leader_ix").alias("group_ix"), "group_size")
     rows = with_keys(df)

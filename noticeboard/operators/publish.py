@@ -8,7 +8,8 @@ from ..functions.text import identity_title
 from ..functions.times import iso, ntz
 from ..schema import FIELD_LIMITS, LISTING, TRACKED_FIELDS, USER_SUBMITTED, conform, missing
 from ..sources import registry as reg
-from .dedup import TITLE_SIMILARITY, WINDOW_SECONDS, first_wins, keep, match_classes, with_keys
+from . import replay
+from .dedup import TITLE_SIMILARITY, WINDOW_SECONDS, first_wins, keep, match_classes, number_classes, with_keys
 
 SECOND_PASS_SIMILARITY = 0.70
 
@@ -38,7 +39,7 @@ def promote(candidates: DataFrame, scraped_at) -> tuple[DataFrame, DataFrame]:
 # --- reconcile and second pass --------------------------------------------------------
 
 def _settle(edges: DataFrame) -> DataFrame:
-    """Work off pairwise contests as a sequential scan would, many at a time.
+    """Work off pairwise contests as a sequential scan would, many at a time: for components too large to be replayed by one task.
 
     ``edges(i, j, j_ix, i_loses)``: scanning each ``i`` in order and its ``j`` by ``j_ix``,
     skipping what is gone: either j goes, or i goes and its scan stops. An ``i`` may
@@ -71,59 +72,94 @@ def _settle(edges: DataFrame) -> DataFrame:
     return keep(gone) if gone is not None else edges.select(F.col("i").alias("k"))
 
 
-def second_pass(listings: DataFrame, registry: DataFrame) -> DataFrame:
+def _contest_classes(*sides: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, titles, venues) over the rows of all sides: one class for equal start, title and venue, numbered ``cid``."""
+    every = sides[0].select("sec", "hour", "t", "v")
+    for side in sides[1:]:
+        every = every.union(side.select("sec", "hour", "t", "v"))
+    return number_classes(keep(every.distinct().withColumn("cid", F.monotonically_increasing_id())))
+
+
+def _of_classes(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return keep(rows.join(classes.select("sec", "t", "v", "cid"), ["sec", "t", "v"]))
+
+
+def second_pass(listings: DataFrame, registry: DataFrame, largest: int | None = None) -> DataFrame:
     """Cross-source duplicates on one calendar date: starts within an hour, venues alike, lower-cased
     titles at least 70 % alike. The better-ranked source stays, then the longer description, then the
     earlier row.
 
-    Meant for rows that went through :func:`dedup.deduplicate`, so copies are gone.
+    Rows equal in start, title and venue are one class; links are between classes, and each connected component is replayed in
+    order. Meant for rows that went through :func:`dedup.deduplicate`, so copies of one source are gone.
     """
-    keyed = keep(reg.with_source_rank(with_keys(listings), registry)
-                 .withColumn("t", F.lower(F.coalesce("title", F.lit(""))))
-                 .select("arrival_ix", F.col("arrival_ix").alias("cid"), "src", "sec", "hour", "t", "v", "source_rank",
-                         F.length(F.coalesce("description", F.lit(""))).alias("dlen"), F.to_date("start_datetime").alias("day")))
-    titles = keyed.select("hour", "t").distinct()
-    links = keep(title_links(titles, titles, SECOND_PASS_SIMILARITY, 1, contain=False))
-    gap = F.abs(F.col("sec_a") - F.col("sec_b")) <= WINDOW_SECONDS
-    pairs = match_classes(keyed, keyed, links, (-1, 0, 1), gap & (F.col("a") < F.col("b")))
-    side = lambda n: keyed.select(F.col("cid").alias(n), F.col("src").alias(f"src_{n}"), F.col("day").alias(f"day_{n}"),
-                                  F.struct("source_rank", -F.col("dlen")).alias(f"key_{n}"))
-    contests = (pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-                .filter((F.col("src_a") != F.col("src_b")) & (F.col("day_a") == F.col("day_b"))))
-    gone = _settle(contests.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("b").alias("j_ix"),
-                                   (F.col("key_a") > F.col("key_b")).alias("i_loses")))
-    return listings.join(gone.select(F.col("k").alias("arrival_ix")), "arrival_ix", "left_anti")
-
-
-def reconcile(fresh: DataFrame, preserved: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    keyed = (reg.with_source_rank(with_keys(listings.filter(F.col("start_datetime").isNotNull())), registry)
+             .withColumn("t", F.lower(F.coalesce("title", F.lit(""))))
+             .select("arrival_ix", "src", "sec", "hour", "t", "v", "source_rank", F.length(F.coalesce("description", F.lit(""))).alias("dlen")))
+    classes, titles, venues = _contest_classes(keyed)
+    keyed = _of_classes(keyed, classes)
+    hours = classes.select("hour", "tid").distinct()
+    links = keep(title_links(hours, hours, titles, SECOND_PASS_SIMILARITY, 1, contain=False))
+    gap = (F.abs(F.col("sec_a") - F.col("sec_b")) <= WINDOW_SECONDS) & (F.expr("sec_a div 86400") == F.expr("sec_b div 86400"))
+    pairs = keep(match_classes(classes, classes, links, venues, (-1, 0, 1), gap).select("a", "b"))
+    # a class with several rows is a component of its own even without links
+    several = keyed.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    roots = keep(replay.label_components(pairs.union(several)))
+    members = keyed.join(roots.withColumnRenamed("node", "cid"), "cid")
+    rooted = pairs.join(roots.withColumnRenamed("node", "a"), "a")
+    rows = replay.row(rooted, replay.LINK, a="a", b="b").union(
+        replay.row(members, replay.MEMBER, a="cid", o2="arrival_ix", src="src", n1=F.col("source_rank").cast("long"), n2=-F.col("dlen").cast("long")))
+    large = replay.split_by_size(roots, [rows.select("root")], largest)
+    gone = replay.replay(rows.join(large, "root", "left_anti"), replay.contest, "arrival_ix long")
+    if not large.isEmpty():
+        side = lambda n: members.join(large, "root", "left_semi").select(F.col("cid").alias(f"c{n}"), F.col("arrival_ix").alias(n), F.col("src").alias(f"src_{n}"), F.struct("source_rank", -F.col("dlen")).alias(f"key_{n}"))
+        met = pairs.union(members.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct()).toDF("ca", "cb")
+        both = met.join(side("a"), "ca").join(side("b"), "cb").filter((F.col("src_a") != F.col("src_b")) & (F.col("a") < F.col("b")))
+        late = _settle(both.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("b").alias("j_ix"), (F.col("key_a") > F.col("key_b")).alias("i_loses")))
+        gone = gone.union(late.select("k"))
+    return listings.join(gone, "arrival_ix", "left_anti")
+
+
+def reconcile(fresh: DataFrame, preserved: DataFrame, registry: DataFrame, largest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Drop duplicates between this run's rows and preserved ones; returns (fresh, preserved).
 
     A reader submission always stays, a better-ranked preserved row beats a fresh
     copy, and otherwise the fresh row stays. Order is ``arrival_ix`` on both sides.
     """
     def side(df):
-        return (reg.with_source_rank(with_keys(df), registry)
-                .select(F.col("arrival_ix").alias("cid"), "src", "sec", "hour", "t", "v", "source_rank", "source_manual",
-                        F.to_date("start_datetime").alias("day")))
-    p, f = keep(side(preserved)), keep(side(fresh))
-    links = keep(title_links(p.select("hour", "t").distinct(), f.select("hour", "t").distinct(),
-                             TITLE_SIMILARITY, 2, contain=True))
+        return (reg.with_source_rank(with_keys(df.filter(F.col("start_datetime").isNotNull())), registry)
+                .select("arrival_ix", "src", "sec", "hour", "t", "v", "source_rank", "source_manual", F.expr("sec div 86400").alias("day")))
+    p, f = side(preserved), side(fresh)
+    classes, titles, venues = _contest_classes(p, f)
+    p, f = _of_classes(p, classes), _of_classes(f, classes)
+    of = lambda rows: keep(classes.join(rows.select("cid").distinct(), "cid", "left_semi"))
+    p_classes, f_classes = of(p), of(f)
+    hours = lambda c: c.select("hour", "tid").distinct()
+    links = keep(title_links(hours(p_classes), hours(f_classes), titles, TITLE_SIMILARITY, 2, contain=True))
     gap = F.abs(F.col("sec_a") - F.col("sec_b")) <= WINDOW_SECONDS
-    # p and f number their rows independently: shift one side so that a <> b holds
-    shifted = f.withColumn("cid", -F.col("cid") - 1)
-    pairs = match_classes(p, shifted, links, (-1, 0, 1), gap).withColumn("b", -F.col("b") - 1)
-    info = lambda df, n: df.select(F.col("cid").alias(n), F.col("src").alias(f"src_{n}"), F.col("source_rank").alias(f"rank_{n}"),
-                                   F.col("source_manual").alias(f"manual_{n}"), F.col("day").alias(f"day_{n}"), F.col("t").alias(f"t_{n}"))
-    both = pairs.join(info(p, "a"), "a").join(info(f, "b"), "b")
+    pairs = match_classes(p_classes, f_classes, links, venues, (-1, 0, 1), gap)
     # one source's own rows are duplicates only with equal start and title
-    matched = both.filter((F.col("src_a") != F.col("src_b"))
-                          | ((F.col("sec_a") == F.col("sec_b")) & (F.col("t_a") == F.col("t_b"))
-                             & ((F.col("va") == "") | (F.col("vb") == "") | (F.col("va") == F.col("vb")))))
-    wins = F.col("manual_a") | (F.col("rank_a") < F.col("rank_b"))
-    gone = _settle(matched.select(
-        F.struct(F.lit(0).alias("side"), F.col("a").alias("ix")).alias("i"), F.struct(F.lit(1).alias("side"), F.col("b").alias("ix")).alias("j"),
-        F.struct("day_b", "b").alias("j_ix"), (~wins).alias("i_loses")))
-    ids = lambda s: gone.filter(F.col("k.side") == s).select(F.col("k.ix").alias("arrival_ix"))
+    own = F.col("same_title") & (F.col("sec_a") == F.col("sec_b")) & (F.col("va").isNull() | F.col("vb").isNull() | F.col("va").eqNullSafe(F.col("vb")))
+    pairs = keep(pairs.select("a", "b", own.alias("own")))
+    shared = p_classes.join(f_classes.select("cid"), "cid", "left_semi").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    roots = keep(replay.label_components(pairs.select("a", "b").union(shared)))
+    member = lambda df, s: df.join(roots.withColumnRenamed("node", "cid"), "cid").withColumn("side", F.lit(s).cast("long"))
+    members = member(p, 0).union(member(f, 1))
+    rooted = pairs.join(roots.withColumnRenamed("node", "a"), "a")
+    rows = replay.row(rooted, replay.LINK, a="a", b="b", flag="own").union(
+        replay.row(members, replay.MEMBER, a="cid", b="side", o1="day", o2="arrival_ix", src="src", n1=F.col("source_rank").cast("long"), flag="source_manual"))
+    large = replay.split_by_size(roots, [rows.select("root")], largest)
+    gone = replay.replay(rows.join(large, "root", "left_anti"), replay.reconcile, "side long, arrival_ix long")
+    if not large.isEmpty():
+        rest = members.join(large, "root", "left_semi")
+        info = lambda s, n: rest.filter(F.col("side") == s).select(F.col("cid").alias(f"c{n}"), F.col("arrival_ix").alias(n), F.col("src").alias(f"src_{n}"), F.col("source_rank").alias(f"rank_{n}"), F.col("source_manual").alias(f"manual_{n}"), F.col("day").alias(f"day_{n}"))
+        met = pairs.union(shared.withColumn("own", F.lit(True))).toDF("ca", "cb", "own")
+        both = met.join(info(0, "a"), "ca").join(info(1, "b"), "cb").filter(F.col("own") | (F.col("src_a") != F.col("src_b")))
+        late = _settle(both.select(
+            F.struct(F.lit(0).alias("side"), F.col("a").alias("ix")).alias("i"), F.struct(F.lit(1).alias("side"), F.col("b").alias("ix")).alias("j"),
+            F.struct("day_b", "b").alias("j_ix"), (~(F.col("manual_a") | (F.col("rank_a") < F.col("rank_b")))).alias("i_loses")))
+        gone = gone.union(late.select(F.col("k.side").cast("long"), F.col("k.ix")))
+    gone = keep(gone)
+    ids = lambda s: gone.filter(F.col("side") == s).select("arrival_ix")
     return fresh.join(ids(1), "arrival_ix", "left_anti"), preserved.join(ids(0), "arrival_ix", "left_anti")
 
 

@@ -4,7 +4,10 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from noticeboard.operators.dedup import assign_groups, deduplicate, interval_pair_counts
+from noticeboard.functions import similarity
+from noticeboard.functions.similarity import title_links
+from noticeboard.operators import replay
+from noticeboard.operators.dedup import assign_groups, deduplicate, interval_pair_counts, pair_stages
 from noticeboard.schema import CANDIDATE, conform
 from noticeboard.sources.registry import registry_frame
 
@@ -71,6 +74,73 @@ def test_sweep_equals_the_sequential_rule_on_random_rows(spark):
         assert got == brute_groups(rows)
 
 
+def test_large_components_settled_by_rounds_give_the_same_groups(spark):
+    rows = random_rows(5, 120)
+    got = {r["arrival_ix"]: r["group_ix"] for r in assign_groups(frame(spark, rows), largest=0).select("arrival_ix", "group_ix").collect()}
+    assert got == brute_groups(rows)
+
+
+def test_a_chain_of_a_thousand_rows_takes_few_rounds(spark, monkeypatch):
+    """Each row matches only its neighbours, so every decision hangs on the one before."""
+    rows = [dict(source_name="AB"[i % 2], title="Jazz Night", venue_name="Hall", start_datetime=T0 + timedelta(minutes=40 * i)) for i in range(1000)]
+    kept, plain = [], replay.keep
+    monkeypatch.setattr(replay, "keep", lambda df: kept.append(1) or plain(df))
+    got = {r["arrival_ix"]: r["group_ix"] for r in assign_groups(frame(spark, rows)).select("arrival_ix", "group_ix").collect()}
+    assert got == {i: i - i % 2 for i in range(1000)} == brute_groups(rows)
+    assert len(kept) <= 16                                            # rounds of the labelling, logarithmic in the chain
+
+
+def test_labels_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (7001, 7000), (7002, 7001)]
+    got = dict(replay.label_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert {k for k, v in got.items() if v == 0} == set(range(301)) and all(got[1000 + i] == 1000 for i in range(200))
+    assert got[5000] == 5000 and got[7002] == 7000 and replay.label_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def texts_of(spark, words):
+    return spark.createDataFrame(list(enumerate(words)), "tid long, t string")
+
+
+def test_links_lose_no_pair(spark):
+    """Index, filters and anchors against comparing everything with everything."""
+    r = random.Random(8)
+    words = "night jazz story time for kids open mic global arts presents the late hall brad trio".split()
+    texts = {" ".join(r.choice(words) for _ in range(r.randrange(1, 7))) for _ in range(60)}
+    texts |= {t[:k] + r.choice("abc xyz") + t[k + r.randrange(3):] for t in list(texts) for k in [r.randrange(len(t) + 1)]}
+    long_ = " ".join(r.choice(words) for _ in range(60))
+    texts |= {long_, long_.replace("jazz", "jass"), "prefix " + long_, "", "a", "b", "ab", "ba", "é\U0001F600", "é\U0001F601", "aaaaaaaa", "aaaaaaaaa", "x" * 300, "x" * 280}
+    texts = sorted(texts)
+    hours = spark.createDataFrame([(h, i) for i in range(len(texts)) for h in ((0,) if i % 3 else (0, 1, 5))], "hour long, tid long")
+    at = {i: ((0,) if i % 3 else (0, 1, 5)) for i in range(len(texts))}
+    for threshold, q in ((0.85, 2), (0.7, 1)):
+        got = {(x["hour"], x["a"], x["b"]): (x["near"], x["contained"]) for x in title_links(hours, hours, texts_of(spark, texts), threshold, q, contain=True, offsets=(-1, 0, 1)).collect()}
+        want = {}
+        for a, x in enumerate(texts):
+            for b, y in enumerate(texts):
+                near = SequenceMatcher(None, x, y).ratio() >= threshold
+                short, long_one = sorted((x, y), key=len)
+                held = len(short) >= 8 and short in long_one
+                if a != b and (near or held):
+                    want |= {(h, a, b): (near, held) for h in at[b] if any(abs(h - g) <= 1 for g in at[a])}
+        assert got == want
+
+
+def test_common_subsequence(spark):
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcd ") for _ in range(r.randrange(0, 90))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert similarity.common_subsequence(similarity._letter_masks(b), len(b), a) == table[-1][-1]
+
+
+def test_stages_of_the_search_are_counted(spark):
+    got = pair_stages(frame(spark, random_rows(2, 80))).first()
+    assert got["rows"] == 80 >= got["nodes"] >= got["classes"] and got["compared"] <= got["candidates"] and 0 < got["alike"] <= got["compared"] and got["class_pairs"] > 0
+
+
 def test_greedy_is_not_transitive(spark):
     base = dict(venue_name=None)
     rows = [dict(base, source_name=s, title="Jazz Night", start_datetime=T0 + timedelta(minutes=m))

@@ -2,6 +2,8 @@ import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import pytest
+
 from noticeboard.operators.publish import reconcile, second_pass
 from noticeboard.schema import KIND_RANK
 from noticeboard.sources.registry import registry_frame
@@ -23,7 +25,8 @@ def rows(seed, n, sources):
              "description": "d" * r.choice([10, 20, 30]), "start_datetime": T0 + timedelta(minutes=r.choice([0, 0, 30, 60, 90, 250, 290, 310]))} for _ in range(n)]
 
 
-def test_second_pass_equals_the_sequential_rule(spark):
+@pytest.mark.parametrize("largest", [None, 0])
+def test_second_pass_equals_the_sequential_rule(spark, largest):
     registry = registry_frame(spark, RECORDS)
     data = rows(5, 70, list("ABCD"))
     gone = set()
@@ -45,11 +48,12 @@ def test_second_pass_equals_the_sequential_rule(spark):
                 gone.add(lose)
                 if lose == i:
                     break
-    got = {r["arrival_ix"] for r in second_pass(frame(spark, data).repartition(5), registry).collect()}
+    got = {r["arrival_ix"] for r in second_pass(frame(spark, data).repartition(5), registry, largest).collect()}
     assert got == set(range(len(data))) - gone
 
 
-def test_reconcile_equals_the_sequential_rule(spark):
+@pytest.mark.parametrize("largest", [None, 0])
+def test_reconcile_equals_the_sequential_rule(spark, largest):
     registry = registry_frame(spark, RECORDS)
     fresh, old = rows(7, 50, list("ABC")), rows(8, 40, ["B", "C", "D", "User Submitted"])
     lost_f, lost_p = set(), set()
@@ -63,7 +67,7 @@ def test_reconcile_equals_the_sequential_rule(spark):
             else:
                 lost_p.add(p)
                 break
-    got_f, got_p = reconcile(frame(spark, fresh), frame(spark, old), registry)
+    got_f, got_p = reconcile(frame(spark, fresh), frame(spark, old), registry, largest)
     assert {r["arrival_ix"] for r in got_f.collect()} == set(range(len(fresh))) - lost_f
     assert {r["arrival_ix"] for r in got_p.collect()} == set(range(len(old))) - lost_p
     assert datetime(2026, 10, 6, 19) == T0
