@@ -108,17 +108,21 @@ def _split(spark, sf):
 
 
 def _gate(spark, sf):
-    df = listings(spark, sf)
     cur, past = _now_and_past(spark, sf)
     previous, now = _split(spark, sf)
-    out = q.gate(now, q.check_invariants(now.withColumn("id", F.col("id")), AS_OF), q.check_drift(cur, past, registry(spark).filter("status = 'active'")), previous)
-    return out.select("decision", "mode", "passed", "blocking", "events", F.size("violations").alias("n_violations"), F.size("drifts").alias("n_drifts"))
+    of = q.publish_state(now, AS_OF)
+    out = q.gate(of, q.rule_findings(of), q.check_drift(cur, past, registry(spark).filter("status = 'active'")), previous)
+    worst = F.transform("violations", lambda v: F.concat_ws("|", v["rule"], F.coalesce(v["source"], F.lit("-")), v["count"].cast("string"), v["sample"], v["detail"]))
+    drifted = F.transform("drifts", lambda d: F.concat_ws("|", d["severity"], d["source"], d["metric"], d["current"].cast("string"), d["baseline"].cast("string"), d["detail"]))
+    return out.select("decision", "mode", "drift_enforced", "passed", "blocking", "events", "n_violations", "n_drifts", F.array_join("reasons", " / ").alias("reasons"),
+                      F.array_join(worst, chr(10)).alias("violations"), F.array_join(drifted, chr(10)).alias("drifts"))
 
 
 def _report(spark, sf):
     previous, now = _split(spark, sf)
     cur, past = _now_and_past(spark, sf)
-    return q.report(q.gate(now, q.check_invariants(now, AS_OF), q.check_drift(cur, past), previous, enforce_drift=True))
+    of = q.publish_state(now, AS_OF)
+    return q.report(q.gate(of, q.rule_findings(of), q.check_drift(cur, past), previous, enforce_drift=True))
 
 
 def _board(spark, sf):
@@ -127,7 +131,84 @@ def _board(spark, sf):
     runs = df.groupBy().agg(F.date_format(F.max("raw_start"), "yyyy-MM-dd").alias("run_id")).select(
         "run_id", F.concat("run_id", F.lit(" 00:00:00")).alias("started_at"), F.expr("named_struct('decision', 'BLOCKED')").alias("gate"),
         F.expr("array(named_struct('source', 'error', 'status', 'failed'))").alias("scrapers"))
-    return q.findings_board(q.check_invariants(df, AS_OF), q.check_drift(cur, past), q.silent_sources(df, registry(spark)), runs, "2024-02-05 00:00:00")
+    of = q.publish_state(df, AS_OF)
+    return q.findings_board(q.rule_findings(of), q.check_drift(cur, past), q.silent_sources(q.source_counts(of), registry(spark)), runs, "2024-02-05 00:00:00")
+
+
+def _crooked(df):
+    """Listings with every defect a rule looks for."""
+    k, ix = F.col("k"), F.col("arrival_ix")
+    return (df.withColumn("start_datetime", F.when(k % 17 == 0, F.col("raw_start")).when(ix % 211 == 0, F.col("start_datetime") + F.expr("INTERVAL 900 DAYS"))
+                          .when(ix % 307 != 0, F.date_trunc("hour", "start_datetime").cast("timestamp_ntz")))
+            .withColumn("title", F.when(ix % 101 != 0, F.col("title"))).withColumn("source_url", F.when(ix % 103 != 0, F.col("source_url")).otherwise(""))
+            .withColumn("id", F.when(ix % 13 == 0, F.concat("source_name", F.lit(":"), F.col("user_id"))).otherwise(F.col("id")))
+            .withColumn("source_name", F.when(ix % 401 == 0, F.lit(None)).when(ix % 997 < 9, F.concat(F.lit("few "), (ix % 997).cast("string"))).otherwise(F.col("source_name"))))
+
+
+def _state_shapes(spark, sf):
+    return q.state.shapes(q.publish_state(listings(spark, sf), AS_OF))
+
+
+CROOKED_SQL = """crooked AS (SELECT * REPLACE (CASE WHEN k % 17 = 0 THEN raw_start WHEN arrival_ix % 211 = 0 THEN start_datetime + INTERVAL 900 DAY WHEN arrival_ix % 307 <> 0 THEN date_trunc('hour', start_datetime) END AS start_datetime,
+  CASE WHEN arrival_ix % 101 <> 0 THEN title END AS title, CASE WHEN arrival_ix % 103 <> 0 THEN source_url ELSE '' END AS source_url, CASE WHEN arrival_ix % 13 = 0 THEN source_name || ':' || user_id ELSE id END AS id,
+  CASE WHEN arrival_ix % 401 = 0 THEN NULL WHEN arrival_ix % 997 < 9 THEN 'few ' || (arrival_ix % 997) ELSE source_name END AS source_name) FROM lv)"""
+
+
+# every rule over the rows ``src``, in SQL; numbers and words are written out, so that a changed constant shows
+def rules_sql(src, name="viol"):
+    iso = ISO.format("start_datetime")
+    one = lambda rule, cond, sample, text: (f"SELECT '{rule}' AS rule, source_name AS source, count(*) AS count, first({sample} ORDER BY arrival_ix) AS sample, count(*) || '{text}' AS detail "
+                                            f"FROM {src} WHERE {cond} GROUP BY source_name")
+    parts = [one("clock_stamped", "start_datetime <> date_trunc('minute', start_datetime)", iso, " start times carry seconds or microseconds"),
+             one("date_out_of_range", "start_datetime < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 730 DAY OR start_datetime > TIMESTAMP '2024-01-15 00:00:00' + INTERVAL 730 DAY", iso, " events dated outside [-730d, +730d]"),
+             one("nav_title", f"regexp_matches(trim(lower(coalesce(title, ''))), '{NAV_RE2}')", "substring(coalesce(title, ''), 1, 60)", " titles look like page chrome"),
+             f"SELECT 'timestamp_pileup', source_name, n, {iso}, n || ' events share one exact start (limit 20)' FROM {name}_ts WHERE n > 20",
+             f"SELECT 'uniform_timestamp', source_name, n, {iso}, n || ' of ' || t || ' events share one exact start' FROM {name}_ts JOIN (SELECT source_name, CAST(sum(n) AS BIGINT) t FROM {name}_ts GROUP BY ALL) USING (source_name) WHERE t >= 8 AND n <= 20 AND n / t > 0.7",
+             f"SELECT 'duplicate_id', NULL, count(*), first(id || ' x' || n ORDER BY n DESC, ix), count(*) || ' ids used by more than one event' FROM (SELECT id, count(*) n, min(arrival_ix) ix FROM {src} WHERE coalesce(id, '') <> '' GROUP BY id HAVING count(*) > 1) HAVING count(*) > 0"]
+    parts += [f"SELECT 'missing_required', first(source_name ORDER BY arrival_ix), count(*), first(substring(coalesce(title, ''), 1, 60) ORDER BY arrival_ix), count(*) || ' events missing {f}' FROM {src} WHERE coalesce(CAST({f} AS VARCHAR), '') = '' HAVING count(*) > 0"
+              for f in ("title", "description", "start_datetime", "source_url", "source_name")]
+    return f"{name}_ts AS (SELECT source_name, start_datetime, count(*) n FROM {src} GROUP BY ALL), {name} AS ({' UNION ALL '.join(parts)})"
+
+
+# drift with its words; ``known`` is the condition on sources that count as vanished
+DRIFT_WORDS = """drift_d AS (SELECT source, metric, severity, current, baseline, CASE metric WHEN 'events' THEN CASE WHEN up THEN 'source returns far more than usual' ELSE 'source returns far less than usual' END
+   WHEN 'date_span_days' THEN 'reaches less far ahead' WHEN 'max_events_one_day' THEN 'dates collapse onto one day' WHEN 'distinct_titles_ratio' THEN 'titles repeat'
+   WHEN 'distinct_images_ratio' THEN 'images collapse to a placeholder' ELSE 'descriptions thin out' END || printf(' (%.0f%% of normal)', value / base * 100) AS detail
+   FROM (SELECT source, metric, up, value, base, CASE WHEN (up AND value/base > e) OR (NOT up AND value/base < e) THEN 'error' ELSE 'warning' END AS severity, round(value, 4) AS current, round(base, 4) AS baseline
+     FROM long_now JOIN long_past USING (source, metric) JOIN rules USING (metric) WHERE value IS NOT NULL AND base <> 0 AND ((up AND value/base > w) OR (NOT up AND value/base < w)))
+   UNION ALL SELECT source, 'latest_start', 'warning', 0.0::DOUBLE, 0.0::DOUBLE, 'furthest-out listing moved from ' || best || ' to ' || latest_start FROM judged WHERE latest_start < best
+   UNION ALL SELECT source, 'events', 'error', 0.0::DOUBLE, usual::DOUBLE, 'source disappeared from the data entirely' FROM hist WHERE source NOT IN (SELECT source FROM cur) AND runs >= 3 AND usual >= 10 AND {known})"""
+SPLIT_SQL = """prev AS (SELECT * FROM lv WHERE raw_start < TIMESTAMP '2024-01-20'), nowr AS (SELECT * FROM lv WHERE raw_start >= TIMESTAMP '2024-01-20' AND source_name IN ('click', 'view')),
+  tot AS (SELECT (SELECT count(*) FROM prev) was, (SELECT count(*) FROM nowr) now, (SELECT count(DISTINCT source_name) FROM prev) ws, (SELECT count(DISTINCT source_name) FROM nowr) ns,
+    (SELECT string_agg(DISTINCT source_name, ', ' ORDER BY source_name) FROM prev WHERE source_name NOT IN (SELECT source_name FROM nowr)) lost),
+  why AS (SELECT *, CASE WHEN now < was * 0.5 THEN 'event count collapsed: ' || now || ' vs ' || was || ' currently published' END AS r1,
+    CASE WHEN ns < ws * 0.6 THEN (ws - ns) || ' of ' || ws || ' sources vanished: ' || lost END AS r2, CASE WHEN now = 0 THEN 'the run produced no events at all' END AS r0 FROM tot)"""
+V_TOP = "vt AS (SELECT * FROM viol QUALIFY row_number() OVER (PARTITION BY rule, source ORDER BY -count, sample) <= 5 ORDER BY -count, rule, source NULLS FIRST, sample LIMIT 1000)"
+D_TOP = "dt AS (SELECT * FROM drift_d QUALIFY row_number() OVER (PARTITION BY source ORDER BY severity, source, metric, current, baseline) <= 5 ORDER BY severity, source, metric, current, baseline LIMIT 1000)"
+GATE_SQL = f"""WITH {NOW_SQL}, {DRIFT_WORDS.format(known="source IN (SELECT name FROM reg WHERE status = 'active')")}, {SPLIT_SQL}, {rules_sql('nowr')}, {V_TOP}, {D_TOP},
+  n AS (SELECT (SELECT count(*) FROM viol) nv, (SELECT count(*) FROM drift_d) nd, (SELECT count(*) FROM drift_d WHERE severity = 'error') bd),
+  f AS (SELECT *, r0 IS NULL AND r1 IS NULL AND r2 IS NULL AND nv = 0 AS clean FROM why, n)
+  SELECT CASE WHEN clean THEN 'pass' ELSE 'BLOCKED' END AS decision, 'enforce' AS mode, false AS drift_enforced, clean AS passed, NOT clean AS blocking, now AS events, nv AS n_violations, nd AS n_drifts,
+    concat_ws(' / ', r0, r1, r2, CASE WHEN nv > 0 THEN nv || ' invariant violation(s)' END, CASE WHEN bd > 0 THEN bd || ' source(s) drifted beyond tolerance (not blocking)' END) AS reasons,
+    coalesce((SELECT string_agg(concat_ws('|', rule, coalesce(source, '-'), count, sample, detail), chr(10) ORDER BY -count, rule, source NULLS FIRST, sample) FROM vt), '') AS violations,
+    coalesce((SELECT string_agg(concat_ws('|', severity, source, metric, current, baseline, detail), chr(10) ORDER BY severity, source, metric, current, baseline, detail) FROM dt), '') AS drifts FROM f"""
+REPORT_SQL = f"""WITH {NOW_SQL}, {DRIFT_WORDS.format(known="true")}, {SPLIT_SQL}, {rules_sql('nowr')}, {V_TOP}, {D_TOP},
+  n AS (SELECT (SELECT count(*) FROM viol) nv, (SELECT count(*) FROM drift_d) nd, (SELECT count(*) FROM drift_d WHERE severity = 'error') bd, (SELECT count(*) FROM vt) sv, (SELECT count(*) FROM dt) sd),
+  f AS (SELECT *, CASE WHEN nv > 0 THEN nv || ' invariant violation(s)' END AS r3, CASE WHEN bd > 0 THEN bd || ' source(s) drifted beyond tolerance' END AS r4 FROM why, n),
+  ln AS (SELECT severity, string_agg('  ' || source || ': ' || metric || ' ' || current || ' vs baseline ' || baseline || ' - ' || detail, chr(10) ORDER BY source, metric, current, baseline, detail) AS t FROM dt GROUP BY severity)
+  SELECT concat_ws(chr(10), 'Gate: ' || CASE WHEN coalesce(r0, r1, r2, r3, r4) IS NULL THEN 'pass' ELSE 'BLOCKED' END, '  ' || r0, '  ' || r1, '  ' || r2, '  ' || r3, '  ' || r4,
+    CASE WHEN coalesce(r1, r2) IS NOT NULL THEN 'Catastrophic collapse:' END, '  ' || r1, '  ' || r2,
+    (SELECT 'Invariant violations:' || chr(10) || string_agg('  ' || coalesce(source || ': ', '') || detail || coalesce('  e.g. ' || sample, ''), chr(10) ORDER BY -count, rule, source NULLS FIRST, sample) FROM vt HAVING count(*) > 0),
+    (SELECT 'Drift from each source''s own baseline:' || chr(10) || t FROM ln WHERE severity = 'error'), (SELECT 'Warnings (not blocking):' || chr(10) || t FROM ln WHERE severity = 'warning'),
+    CASE WHEN nv + nd > sv + sd THEN (nv + nd - sv - sd) || ' further finding(s) in the detail tables' END) AS report FROM f"""
+BOARD_SQL = f"""WITH {NOW_SQL}, {DRIFT_WORDS.format(known="true")}, {rules_sql('lv')}, run AS (SELECT strftime(max(raw_start), '%Y-%m-%d') AS run_id, date_diff('day', CAST(max(raw_start) AS DATE), DATE '2024-02-05') AS days FROM lv),
+  quiet AS (SELECT name FROM reg WHERE scraped AND name NOT IN (SELECT source_name FROM lv))
+  SELECT 'error' AS level, coalesce(source, 'data') || ': ' || detail AS message FROM viol
+  UNION ALL SELECT severity, source || ': ' || metric || ' ' || detail FROM drift_d
+  UNION ALL SELECT 'warning', count(*) || ' registered source(s) contribute no events: ' || string_agg(name, ', ' ORDER BY name) FROM quiet HAVING count(*) > 0
+  UNION ALL SELECT 'error', 'last run ' || run_id || ' gate=BLOCKED' FROM run
+  UNION ALL SELECT 'error', 'last run: 1 source(s) failed: error'
+  UNION ALL SELECT 'warning', 'last run was ' || days || ' days ago' FROM run WHERE days > 2"""
 
 
 def _runs(spark, sf):
@@ -151,6 +232,8 @@ BASE_VALUES = ", ".join(f"('{m}', CAST({m} AS DOUBLE))" for m in (
 QUERIES = {
     "fingerprint_by_source": (lambda s, d: q.fingerprints(listings(s, d)), f"WITH {LV}, {fp_sql()} SELECT {FP_COLS} FROM fp"),
     "fingerprint_by_source_day": (daily_history, f"WITH {LV}, lvd AS (SELECT *, strftime(raw_start, '%Y-%m-%d') AS run_id FROM lv), {fp_sql('run_id', 'fp', 'lvd')} SELECT {FP_COLS}, run_id FROM fp"),
+    "state_shapes": (_state_shapes, f"WITH {LV}, {fp_sql()} SELECT {FP_COLS} FROM fp"),
+    "state_findings": (lambda s, d: q.rule_findings(q.publish_state(_crooked(listings(s, d)), AS_OF)), f"WITH {LV}, {CROOKED_SQL}, {rules_sql('crooked')} SELECT 'error' AS severity, * FROM viol"),
     "fingerprint_documents": (lambda s, d: q.fingerprints(doc_listings(s, d).withColumn("venue_name", F.col("category")).withColumn("image_url", F.lit(None).cast("string"))).drop("distinct_images_ratio"),
                               f"WITH {DV}, dvv AS (SELECT *, category AS venue_name, NULL::VARCHAR AS image_url FROM dv), {fp_sql('', 'fp', 'dvv')} SELECT {FP_COLS.replace(' distinct_images_ratio,', '')} FROM fp"),
     "invariant_clock_stamped": (_v(lambda s, d: q.clock_stamped(listings(s, d), "raw_start")),
@@ -204,9 +287,9 @@ QUERIES = {
                        SELECT concat_ws(' / ', CASE WHEN now < was * 0.5 THEN 'event count collapsed: ' || now || ' vs ' || was || ' currently published' END,
                        CASE WHEN ns < ws * 0.6 THEN (ws - ns) || ' of ' || ws || ' sources vanished: ' || lost END) AS reasons FROM t"""),
     "lost_sources": (lambda s, d: q.lost_sources(*_split(s, d)), f"WITH {LV} SELECT DISTINCT source_name FROM lv WHERE raw_start < TIMESTAMP '2024-01-20' AND source_name NOT IN ('click', 'view')"),
-    "gate_decision": (_gate, None),
-    "gate_report": (_report, None),
-    "findings_board": (_board, None),
+    "gate_decision": (_gate, GATE_SQL),
+    "gate_report": (_report, REPORT_SQL),
+    "findings_board": (_board, BOARD_SQL),
     "silent_sources": (lambda s, d: q.silent_sources(listings(s, d), registry(s)), f"WITH {LV}, {REG} SELECT name FROM reg WHERE scraped AND name NOT IN (SELECT source_name FROM lv)"),
     "unregistered_sources": (lambda s, d: q.unregistered_sources(listings(s, d), registry(s)), f"WITH {LV}, {REG} SELECT source_name AS name, count(*) AS event_count FROM lv WHERE source_name NOT IN (SELECT name FROM reg) GROUP BY ALL"),
     "coverage_signals": (lambda s, d: q.coverage_signals(listings(s, d).withColumn("source_name", F.concat("source_name", F.lit("-"), F.col("k"))), None, AS_OF).drop("pages_missing"),

@@ -1,18 +1,18 @@
 """Absolute rules, source shapes, drift against a source's own history, and the gate.
 
 Checks are aggregates with a map-side combine; none collects a source's rows
-anywhere. ``check_invariants`` and ``fingerprints`` should run off one
-materialised publish set.
+anywhere. The gate reads a publish set once, into a state (``quality_state``);
+the functions of single rules stay for queries about one of them.
 """
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.rules import nav_title
 from ..functions.times import has_offset, has_subminute, iso, ntz
 from ..schema import FINGERPRINT, REQUIRED_FIELDS, missing
+from ..session import keep
+from . import quality_state as state
 
 # --- fixed values ----------------------------------------------------------
 MAX_EVENTS_PER_TIMESTAMP = 20
@@ -127,15 +127,19 @@ def nav_titles(df: DataFrame) -> DataFrame:
                        "%d titles look like page chrome")
 
 
+def publish_state(df: DataFrame, as_of) -> DataFrame:
+    """The stored one-pass state of a publish set, from which rules, shapes and totals are read."""
+    return state.source_state(df, as_of, MAX_PAST_DAYS, MAX_FUTURE_DAYS)
+
+
+def rule_findings(of: DataFrame) -> DataFrame:
+    """Every absolute rule over a state."""
+    return state.findings(of, MAX_EVENTS_PER_TIMESTAMP, UNIFORM_TIMESTAMP_SHARE, UNIFORM_TIMESTAMP_MIN_EVENTS, MAX_PAST_DAYS, MAX_FUTURE_DAYS)
+
+
 def check_invariants(df: DataFrame, as_of) -> DataFrame:
-    """Every absolute rule. ``tz_aware`` runs where the raw text columns are present."""
-    parts = [missing_required(df), clock_stamped(df), timestamp_pileup(df), uniform_timestamp(df),
-             date_out_of_range(df, as_of), nav_titles(df)]
-    if "id" in df.columns:
-        parts.append(duplicate_ids(df))
-    if "start_datetime_raw" in df.columns:
-        parts.append(tz_aware(df))
-    return reduce(DataFrame.unionByName, parts)
+    """Every absolute rule, in one pass. ``tz_aware`` runs where the raw text columns are present."""
+    return rule_findings(publish_state(df, as_of))
 
 
 def by_severity(findings: DataFrame) -> DataFrame:
@@ -269,40 +273,72 @@ def disappeared(current: DataFrame, history: DataFrame, active: DataFrame | None
                                     F.lit("source disappeared from the data entirely")))
 
 
+def past_of(history: DataFrame) -> DataFrame:
+    """What a source's history says of it, one row a source: runs, usual, best and the median of every metric. Trimmed history is 30 runs a source."""
+    return history.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(F.median("events"), F.lit(0.0)).alias("usual"), F.max("latest_start").alias("best"),
+                                         *[F.median(F.col(m).cast("double")).alias(f"base_{m}") for m in METRICS])
+
+
 def check_drift(current: DataFrame, history: DataFrame, active: DataFrame | None = None,
                 scope: list[str] | None = None) -> DataFrame:
-    """All drift. ``scope`` judges only the named sources, so that the rest do not look vanished."""
+    """All drift, with one read of each side. ``scope`` judges only the named sources, so that the rest do not look vanished."""
     if scope is not None:
         current, history = (d.filter(F.col("source").isin(*scope)) for d in (current, history))
-    return (metric_drift(current, history).unionByName(stale_drift(current, history))
-            .unionByName(disappeared(current, history, active)))
+    both = current.join(past_of(history), "source", "full")
+    known = F.lit(True)
+    if active is not None:
+        both = both.join(active.select(F.col("name").alias("source")).distinct().withColumn("known", F.lit(True)), "source", "left")
+        known = F.coalesce("known", F.lit(False))
+    enough = F.col("runs") >= MIN_RUNS_FOR_DRIFT
+    here = F.col("events").isNotNull()
+    judged = here & enough & ~((F.col("events") < MIN_EVENTS_FOR_DRIFT) & (F.col("usual") < MIN_EVENTS_FOR_DRIFT))
+    lost = judged & (F.col("events") == 0) & (F.col("usual") >= MIN_EVENTS_FOR_DRIFT)
+    row = lambda *cols: F.struct(*_drift_row(*cols))
+    found = [F.when(lost, row(F.lit("events"), F.lit("error"), F.lit(0), F.col("usual"), F.lit("returned nothing"))),
+             F.when(~here & enough & (F.col("usual") >= MIN_EVENTS_FOR_DRIFT) & known,
+                    row(F.lit("events"), F.lit("error"), F.lit(0), F.col("usual"), F.lit("source disappeared from the data entirely"))),
+             F.when(judged & ~lost & (F.col("latest_start") < F.col("best")), row(
+                 F.lit("latest_start"), F.lit("warning"), F.lit(0), F.lit(0),
+                 F.format_string("furthest-out listing moved from %s to %s", F.col("best").cast("string"), F.col("latest_start").cast("string"))))]
+    for metric, direction, warn_at, error_at, hint in DRIFT_RULES:
+        value, base = F.col(metric).cast("double"), F.col(f"base_{metric}")
+        ratio = value / base
+        beyond = (lambda bound: ratio < bound) if direction == "down" else (lambda bound: ratio > bound)
+        found.append(F.when(judged & ~lost & (base != 0) & beyond(warn_at), row(
+            F.lit(metric), F.when(beyond(error_at), "error").otherwise("warning"), F.round(value, 4), F.round(base, 4),
+            F.format_string("%s (%.0f%% of normal)", F.lit(hint), ratio * 100))))
+    return both.select(F.explode(F.array(*found)).alias("f")).filter("f IS NOT NULL").select("f.*")
 
 
 # --- the gate ----------------------------------------------------------------------
 
+def source_counts(df: DataFrame) -> DataFrame:
+    """``source_name, n``: of listings, or of their state without reading them again."""
+    return state.counts(df) if "kind" in df.columns else df.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def collapse(events: DataFrame, previous: DataFrame | None) -> DataFrame:
-    """Absolute stop: most of the rows, or of the sources, about to vanish. One row.
+    """Absolute stop: most of the rows, or of the sources, about to vanish. One row: reasons and the number of rows now.
 
-    Counting per source first leaves a small table for the totals.
+    Counting per source first leaves a small table for the totals. Either side may be listings or their state.
     """
-    empty = "reasons array<string>"
+    now = source_counts(events).withColumnRenamed("n", "now")
     if previous is None:
-        return events.sparkSession.createDataFrame([([],)], empty)
-    per = lambda df, n: df.groupBy("source_name").agg(F.count(F.lit(1)).alias(n))
-    both = per(previous, "was").join(per(events, "now"), "source_name", "full")
+        return now.agg(F.array().cast("array<string>").alias("reasons"), F.coalesce(F.sum("now"), F.lit(0)).alias("events"))
+    both = source_counts(previous).withColumnRenamed("n", "was").join(now, "source_name", "full")
     named = ~missing(F.col("source_name"))
     # a null name never joins itself, so its rows are still counted on both sides
     totals = both.agg(
         F.coalesce(F.sum("was"), F.lit(0)).alias("was"), F.coalesce(F.sum("now"), F.lit(0)).alias("now"),
         F.count(F.when(named & (F.col("was") > 0), 1)).alias("was_sources"),
         F.count(F.when(named & (F.col("now") > 0), 1)).alias("now_sources"),
-        F.array_sort(F.collect_list(F.when(named & (F.col("was") > 0) & F.col("now").isNull(), F.col("source_name")))).alias("lost"))
+        F.array_sort(F.collect_list(F.when(named & (F.col("was") > 0) & F.col("now").isNull(), F.col("source_name")))).alias("lost"))      # one name a source
     rows = F.when((F.col("was") > 0) & (F.col("now") < F.col("was") * MIN_EVENTS_RATIO),
                   F.format_string("event count collapsed: %d vs %d currently published", "now", "was"))
     sources = F.when((F.col("was_sources") > 0) & (F.col("now_sources") < F.col("was_sources") * MIN_SOURCES_RATIO),
                      F.concat(F.format_string("%d of %d sources vanished: ", F.size("lost"), F.col("was_sources")),
                               F.array_join(F.slice("lost", 1, 8), ", "), F.when(F.size("lost") > 8, " ...").otherwise("")))
-    return totals.select(F.filter(F.array(rows, sources), lambda r: r.isNotNull()).alias("reasons"))
+    return totals.select(F.filter(F.array(rows, sources), lambda r: r.isNotNull()).alias("reasons"), F.col("now").alias("events"))
 
 
 def lost_sources(previous: DataFrame, events: DataFrame) -> DataFrame:
@@ -318,23 +354,36 @@ def resolve_mode(mode: str | None = None, force: bool = False) -> str:
     return value if value in GATE_MODES else "enforce"
 
 
+SHOWN_PER_SOURCE, SHOWN = 5, 1000     # findings that a decision lists; all of them are in the detail tables
+
+
+def _listed(findings: DataFrame, key: list[str], order: list, columns: list[str], name: str) -> DataFrame:
+    """One row: how many findings and errors there are, and the worst of them as a bounded list in order."""
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    # both limits are pushed below the shuffle, so no task sees more than they allow
+    few = findings.withColumn("_n", nth).filter(F.col("_n") <= SHOWN_PER_SOURCE).orderBy(*order).limit(SHOWN).drop("_n")
+    shown = few.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    count = findings.agg(F.count(F.lit(1)).alias(f"n_{name}"), F.count(F.when(F.col("severity") == "error", 1)).alias(f"bad_{name}"))
+    return count.join(shown)                                    # one-row tables
+
+
 def gate(events: DataFrame, violations: DataFrame, drifts: DataFrame, previous: DataFrame | None = None, *,
          mode: str | None = None, force: bool = False, enforce_drift: bool = False) -> DataFrame:
     """The one decision before publishing, as one row.
 
-    The findings are collected into arrays: there are a few per source, never per row.
+    ``events`` and ``previous`` are listings or their states. Decided from counts; the lists hold the worst findings only
+    (``n_violations`` and ``n_drifts`` count all), the frames that come in are the detail.
     """
     resolved = resolve_mode(mode, force)
-    n = events.agg(F.count(F.lit(1)).alias("events"))
-    v = violations.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("bad_rules"),
-                       F.sort_array(F.collect_list(F.struct("severity", -F.col("count"), "rule", "source", "count", "sample", "detail"))).alias("violations"))
-    d = drifts.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("bad_drifts"),
-                   F.sort_array(F.collect_list(F.struct("severity", "source", "metric", "current", "baseline", "detail"))).alias("drifts"))
-    one = n.join(v).join(d).join(collapse(events, previous))     # one-row tables
+    violations, drifts = keep(violations), keep(drifts)         # findings, not rows: a few per source and start
+    v = _listed(violations.withColumn("order", -F.col("count")), ["rule", "source"], ["severity", "order", "rule", F.col("source").asc_nulls_first(), "sample"],
+                ["severity", "order", "rule", "source", "count", "sample", "detail"], "violations")
+    d = _listed(drifts, ["source"], ["severity", "source", "metric", "current", "baseline"], ["severity", "source", "metric", "current", "baseline", "detail"], "drifts")
+    one = collapse(events, previous).join(v).join(d)             # one-row tables
     drifted = F.when(F.col("bad_drifts") > 0, F.format_string("%d source(s) drifted beyond tolerance", "bad_drifts"))
     found = F.concat(
         F.array(F.when(F.col("events") == 0, F.lit("the run produced no events at all"))), F.col("reasons"),
-        F.array(F.when(F.col("bad_rules") > 0, F.format_string("%d invariant violation(s)", "bad_rules")),
+        F.array(F.when(F.col("bad_violations") > 0, F.format_string("%d invariant violation(s)", "bad_violations")),
                 drifted if enforce_drift else F.lit(None).cast("string")))
     noted = F.array(F.lit(None).cast("string") if enforce_drift else F.concat(drifted, F.lit(" (not blocking)")))
     real = lambda a: F.filter(a, lambda r: r.isNotNull())
@@ -345,7 +394,7 @@ def gate(events: DataFrame, violations: DataFrame, drifts: DataFrame, previous:
             .select(F.when(passed, "pass").otherwise("BLOCKED" if resolved == "enforce" else f"fail({resolved})").alias("decision"),
                     F.lit(resolved).alias("mode"), F.lit(enforce_drift).alias("drift_enforced"), passed.alias("passed"),
                     (~passed & F.lit(resolved == "enforce")).alias("blocking"),
-                    F.concat("found", forced, real(noted)).alias("reasons"), "violations", "drifts", "events"))
+                    F.concat("found", forced, real(noted)).alias("reasons"), "violations", "drifts", "events", "n_violations", "n_drifts"))
 
 
 def report(decision: DataFrame) -> DataFrame:
@@ -358,6 +407,7 @@ def report(decision: DataFrame) -> DataFrame:
     def block(title, lines):
         return F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
 
+    more = F.col("n_violations") + F.col("n_drifts") - F.size("violations") - F.size("drifts")
     sev = lambda c, s, f: F.transform(F.filter(c, lambda x: x["severity"] == s), f)
     collapsed = F.transform(F.filter("reasons", lambda r: r.contains("collapsed") | r.contains("vanished")), lambda r: F.concat(F.lit("  "), r))
     return decision.select(F.concat_ws(
@@ -366,7 +416,8 @@ def report(decision: DataFrame) -> DataFrame:
         block("Catastrophic collapse:", collapsed),
         block("Invariant violations:", sev("violations", "error", line_v)),
         block("Drift from each source's own baseline:", sev("drifts", "error", line_d)),
-        block("Warnings (not blocking):", F.concat(sev("violations", "warning", line_v), sev("drifts", "warning", line_d)))).alias("report"))
+        block("Warnings (not blocking):", F.concat(sev("violations", "warning", line_v), sev("drifts", "warning", line_d))),
+        F.when(more > 0, F.format_string("%d further finding(s) in the detail tables", more))).alias("report"))
 
 
 # --- boards ---------------------------------------------------------------------------
