@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from ...session import keep
 from ...settings import DEFAULT, Settings
 
 
@@ -24,15 +25,23 @@ def jobs():
 def extract_all(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAULT, as_of=None) -> DataFrame:
     """Candidates of every platform the registry can name. Text listings, which need a day to read dates by, join in with ``as_of``.
 
+    Captures are read by platform (see ``sources.captures.by_platform``), so each body is parsed by its own job alone.
+
     ``arrival_ix`` numbers the result from zero: run order, response, place in the payload, then the occurrence of a series. So every
     occurrence is a row of its own for what follows.
     """
+    from ...sources.captures import by_platform
     from ..normalise import number_rows
     from .text_listing import text_listing
-    found = [job(captures, registry, settings) for job in jobs().values()]
-    if as_of is not None:
+    captures = by_platform(captures, registry)
+    # only what the registry names is planned: as many names as there are jobs, at most
+    named = {r["adapter"] for r in registry.filter(F.col("adapter").isin(*jobs(), "custom")).select("adapter").distinct().collect()}
+    wanted = [job for name, job in jobs().items() if name in named] or [jobs()["tribe"]]
+    found = [job(captures, registry, settings) for job in wanted]
+    if as_of is not None and "custom" in named:
         found.append(text_listing(captures, registry, as_of, settings))
-    placed = reduce(DataFrame.unionByName, found)
+    # ranging samples its input first: stored rows are extracted once
+    placed = keep(reduce(DataFrame.unionByName, found))
     columns = placed.columns
     placed = placed.withColumn("_order", F.struct("arrival_ix", "start_datetime", "title", "source_url"))
     return number_rows(placed, "_order").withColumn("arrival_ix", F.col("n").cast("bigint")).select(*columns)

@@ -41,10 +41,11 @@ def before_repeat(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(stops, "source_name", "left").filter(F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
 
 
-def source_outcomes(captures: DataFrame, candidates: DataFrame, malformed: DataFrame | None = None) -> DataFrame:
+def source_outcomes(captures: DataFrame, candidates: DataFrame, malformed: DataFrame | None = None, cut: DataFrame | None = None) -> DataFrame:
     """Per source: ``failed`` with no rows and a refused response, else ``ok``; rows despite refusals are kept.
 
     ``malformed(source_name, responses)`` names sources with responses that are not what their platform promises: failed, whatever else came.
+    ``cut`` has the completeness of sources whose announced pages were not all read: their rows stay, the error says how many are missing.
     """
     refused = captures.groupBy("source_name").agg(F.count_if(F.col("status") >= 400).alias("refused"), F.min(F.when(F.col("status") >= 400, F.struct("seq", "status", "url"))).alias("first"))
     rows = candidates.groupBy("source_name").agg(F.count(F.lit(1)).alias("returned"))
@@ -55,6 +56,9 @@ def source_outcomes(captures: DataFrame, candidates: DataFrame, malformed: DataF
         out = out.join(malformed, "source_name", "left")
         told = F.when(F.col("responses") > 0, F.concat(F.col("responses").cast("string"), F.lit(" malformed responses"))).otherwise(told)
         bad = bad | (F.coalesce("responses", F.lit(0)) > 0)
+    if cut is not None:
+        out = out.join(cut.select("source_name", "announced", "captured"), "source_name", "left")
+        told = F.coalesce(told, F.when(F.col("announced").isNotNull(), F.format_string("read %d of %d announced pages", "captured", "announced")))
     return out.select(F.col("source_name").alias("source"), F.when(bad, "failed").otherwise("ok").alias("status"), "returned", told.alias("error"))
 
 

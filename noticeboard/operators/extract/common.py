@@ -12,12 +12,20 @@ MIN_DESCRIPTION = 20
 def responses(captures: DataFrame, registry: DataFrame, adapter: str) -> DataFrame:
     """A platform's good responses with their registry record as ``reg`` and the run position ``run_ix``.
 
+    Captures stored by platform carry ``adapter`` as a partition: only the platform's own files are read.
     Spark decides by the registry's size at run time whether it is broadcast.
     """
+    if "adapter" in captures.columns:
+        captures = captures.filter(F.col("adapter") == adapter).drop("adapter")
+    return with_registry(captures.filter((F.col("status") < 400) & F.col("body").isNotNull()), registry, adapter)
+
+
+def with_registry(rows: DataFrame, registry: DataFrame, adapter: str) -> DataFrame:
+    """Rows of a platform's sources with their record ``reg`` and run position ``run_ix``."""
     order = Window.orderBy("rank", "slug", "name")
     known = registry.withColumn("run_ix", F.row_number().over(order).cast("bigint")).filter(F.col("adapter") == adapter)
     side = known.select(F.col("name").alias("source_name"), F.struct("url", "venue", "params").alias("reg"), "run_ix")
-    return captures.filter((F.col("status") < 400) & F.col("body").isNotNull()).join(side, "source_name")
+    return rows.join(side, "source_name")
 
 
 def param(name: str, default: str | None = None) -> Column:

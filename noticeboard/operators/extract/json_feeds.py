@@ -234,3 +234,12 @@ def failed_sources(captures: DataFrame, registry: DataFrame) -> DataFrame:
     return broken.unionByName(plain)
 
 
+
+
+def announced_pages(captures: DataFrame, registry: DataFrame) -> DataFrame:
+    """``source_name, page, total_pages`` of every good response whose platform announces its number of pages."""
+    side = registry.select(F.col("name").alias("source_name"), "adapter")
+    rows = captures.filter("status < 400").join(side, "source_name").filter(F.col("adapter").isin("tribe", "localist"))
+    v = F.try_parse_json("body")
+    total = F.when(F.col("adapter") == "tribe", get(v, "$.total_pages", "int")).otherwise(get(v, "$.page.total", "int"))
+    return rows.select("source_name", F.col("seq").alias("page"), total.alias("total_pages")).filter("total_pages IS NOT NULL")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scores
 from ..functions.rules import fee_shown_free, fee_shown_paid, free_api, free_strict
 from ..functions.text import slugify
-from ..functions.times import ntz
+from ..functions.times import local_naive, ntz
 from ..schema import missing
+from ..settings import DEFAULT
 
 # --- fixed values ----------------------------------------------------------
 SLIM_COLUMNS = ("id", "title", "start_datetime", "end_datetime", "all_day", "venue_name", "city", "latitude",
@@ -68,8 +69,13 @@ def in_window(name: str, as_of) -> Column:
     return (_c("start_datetime") >= lo.cast("timestamp_ntz")) & (_c("start_datetime") < hi.cast("timestamp_ntz"))
 
 
+def bound(value, zone: str) -> Column:
+    """A bound of a query as local wall clock: text with an offset is moved to the zone, other text is local already."""
+    return local_naive(F.lit(value), zone) if isinstance(value, str) else ntz(value)
+
+
 def filter_listings(df: DataFrame, as_of, *, upcoming_only=False, category=None, city=None, source=None,
-                    start=None, end=None, free_only=False, family=None) -> DataFrame:
+                    start=None, end=None, free_only=False, family=None, zone: str = DEFAULT.zone) -> DataFrame:
     tests = []
     if upcoming_only:
         tests.append(upcoming(as_of))
@@ -80,9 +86,9 @@ def filter_listings(df: DataFrame, as_of, *, upcoming_only=False, category=None,
     if source:
         tests.append(same_text("source_name", source))
     if start is not None:
-        tests.append(_c("start_datetime") >= ntz(start))
+        tests.append(_c("start_datetime") >= bound(start, zone))
     if end is not None:
-        tests.append(_c("start_datetime") <= ntz(end))
+        tests.append(_c("start_datetime") <= bound(end, zone))
     if free_only:
         tests.append(free_api(_c("cost")))
     if family is not None:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="noticeboard-checkpoints-"))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder, for tables that a job writes and reads again."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, so that a lost executor loses no result."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -56,9 +56,9 @@ def write_listings(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     """Write in canonical order across files (range partitions) and within them; returns the count."""
     from pyspark.sql import Observation
     seen = Observation()
-    ordered = (df.observe(seen, F.count(F.lit(1)).alias("rows"))
-               .repartitionByRange("start_datetime", "id")
-               .sortWithinPartitions("start_datetime", "id"))
+    # counted behind the range shuffle, whose sampling reads the input once more
+    ordered = (df.repartitionByRange("start_datetime", "id").sortWithinPartitions("start_datetime", "id")
+               .observe(seen, F.count(F.lit(1)).alias("rows")))
     ordered.write.mode(mode).format(fmt).save(path)
     return int(seen.get["rows"])
 
