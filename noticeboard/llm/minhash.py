@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, might_contain, stored
-from .ngram_join import ngrams
+from .ngram_join import forget_words, ngrams
 from .tokens import batches
 
 ROWS, BANDS = 9, 45
@@ -96,6 +96,7 @@ def _classes(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFra
                 grams = ngrams(text, width)
                 rows.append((doc_id, text_hash, len(grams), xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None, band_keys(signature(grams)) if len(grams) else None))
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "set_hash", "bands"]).astype({"doc_id": "Int64"})
+        forget_words()
 
     rows = stored(texts.select("doc_id", "text_hash", "text").mapInPandas(signed, "doc_id long, text_hash long, n int, set_hash binary, bands array<long>"))
     # equal sets have equal bands, so any row's do; a class is named by a hash of its set, the same in every run
@@ -112,6 +113,7 @@ def _sets(nodes: DataFrame, texts: DataFrame, classes: DataFrame, width: int) ->
     def shingled(frames):
         for frame in batches(frames, "text"):
             yield pd.DataFrame({"node": frame["node"], "grams": [ngrams(t, width).view("int64") for t in frame["text"]]})
+        forget_words()
 
     return stored(found.select("node", "text").mapInPandas(shingled, "node long, grams array<long>"))
 

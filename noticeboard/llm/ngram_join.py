@@ -33,7 +33,7 @@ FRAGMENTS = 8
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53,
                   0xA0761D6478BD642F, 0xE7037ED1A0B428DB], "uint64")
 _WORDS: dict[bytes, int] = {}
-_MOST_WORDS = 1_000_000
+_MOST_WORDS = 300_000             # about 60 MB in a worker; emptied when a task ends, as workers outlive their tasks
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -51,6 +51,11 @@ def word_hashes(text: str | None) -> np.ndarray:
         return np.array([known[w] for w in words], "uint64")
 
 
+def forget_words() -> None:
+    """Empty the memory of words; for the end of a task."""
+    _WORDS.clear()
+
+
 def ngrams(text: str | None, width: int) -> np.ndarray:
     """Distinct n-gram hashes of a text, sorted by hash."""
     w = word_hashes(text)
@@ -88,6 +93,7 @@ def frequency_order(docs: DataFrame, width: int) -> Order:
             grams = [ngrams(t, width) for t in frame["text"]]
             at, n = np.unique((np.concatenate(grams) >> np.uint64(64 - SKETCH_BITS)).astype("int64"), return_counts=True)
             seen[at] = np.minimum(255, seen[at] + n)
+        forget_words()
         rows = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(seen.reshape(-1, BLOCK)) if b.any()]
         yield pd.DataFrame(rows, columns=["block", "counts"])
 
@@ -144,6 +150,7 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 kept = n - -(-num * n // den) + 1 if n else 0
                 rows.append((doc_id, text_hash, n, xxhash.xxh3_128_digest(keys.tobytes()) if n else None, keys[:kept]))
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "set_hash", "prefix"]).astype({"doc_id": "Int64"})
+        forget_words()
 
     sets = stored(texts.select("doc_id", "text_hash", "text").mapInPandas(prefixes, "doc_id long, text_hash long, n int, set_hash binary, prefix array<long>"))
     # one class per set; its first member stands for it where its text is read again, its smallest id is that which is not null
@@ -170,6 +177,7 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 ends = [0, *np.searchsorted(keys, order.value.pivots), len(keys)]
                 rows += [(node, f, keys[i:j]) for f, (i, j) in enumerate(zip(ends, ends[1:])) if j > i]
             yield pd.DataFrame(rows, columns=["node", "fragment", "grams"])
+        forget_words()
 
     def fragments(pairs: DataFrame) -> DataFrame:
         """The cut sets of the classes in ``pairs``; their texts are read again and moved once."""
@@ -204,6 +212,7 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     if not across.isEmpty():
         roots = components(links.union(linked(across)))
 
+    order.unpersist()                 # what follows reads stored frames alone
     named = classes.join(roots, "node", "left").select("set_hash", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_set = named.join(least, "root").select("set_hash", "component_id", "root")
