@@ -324,3 +324,25 @@ def test_packing(make):
     placed = packing.pack(make(single), tokenizer_path(), capacity=256)
     whole = packing.sequences(make(single), placed, tokenizer_path()).collect()
     assert sum(len(r["ids"]) for r in whole) == sum(r["length"] for r in placed.collect()) and all(len(r["ids"]) <= 256 for r in whole)
+
+
+def test_codec_gives_the_tokenizers_own_ids():
+    """Every entry of the vocabulary, every character of the fast range in several places, and random mixtures."""
+    from tokenizers import Tokenizer
+
+    from noticeboard.llm import tokens
+    plain, coder = Tokenizer.from_file(tokenizer_path()), tokens.Codec(tokenizer_path())
+    assert coder.by_chunk and coder.words is not None and tokens.Codec(tokenizer_path("byte_bpe_50k.json")).by_chunk is False
+    alphabet, r = tokens._byte_alphabet(), random.Random(3)
+    texts = []
+    for entry in plain.get_vocab():
+        try:
+            texts.append(bytes(alphabet[c] for c in entry.removesuffix("</w>")).decode())
+        except (KeyError, UnicodeDecodeError):
+            pass
+    texts += [f for c in map(chr, range(0x300)) for f in (c, " " + c, c * 3, f"a{c}b", f"1{c}2", f"'{c}s", f"x {c}{c} y", f"{c}'s{c}'LL")]
+    some = "abcXYZ019'sS'tTreRE.,;<|>_-\x1c\x1d\x00\x7f\x85é ŸſİĲ"
+    texts += ["".join(r.choice(some) for _ in range(r.randrange(1, 40))) for _ in range(3000)] + ["<|endoftext|> A<|ENDOFTEXT|> b", "ÀÉ\x1cb é ́x"]
+    assert [x.tolist() for x in coder.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    coder.bytes = tokens.MEMORY_BYTES + 1
+    assert coder.encode(["again"])[0].tolist() == plain.encode("again", add_special_tokens=False).ids and len(coder.known) == 1
