@@ -45,8 +45,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
-    events = table(spark, sf, "events")
-    sql = LISTING_SELECT.format(str="STRING").replace("FROM events)", "FROM {events})")
+    # the row mark keeps the optimiser from writing the pattern out at every use of k
+    events = table(spark, sf, "events").withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
+    events = events.withColumn("_row", F.monotonically_increasing_id()).filter("_row >= 0").drop("_row")
+    sql = LISTING_SELECT.format(str="STRING").replace("(SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)", "{events}")
     return spark.sql(sql, events=events)
 
 

@@ -83,8 +83,11 @@ def any_of(words) -> str:
 
 
 NAV_TITLE_PATTERN = "(?U)^(?:" + "|".join(NAV_TITLES) + ")"
+# --- fixed values ----------------------------------------------------------
 LOW_QUALITY_DATE = r"^[\d/\-\s:]+$"
 LOW_QUALITY_MONTH = r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\d{1,2}$"
+SAYS_FREE = r"(?i)^\s*(free|\$?0(\.00)?)\s*$"
+# ---------------------------------------------------------------------------
 FAMILY_PATTERN = r"(?U)\b(?:" + "|".join(FAMILY_WORDS) + r")\b|" + any_of(FAMILY_PHRASES)
 FOOD_TYPE_PATTERN = r"(?U)\b(?:" + "|".join(FOOD_VENUE_TYPES) + r")\b"
 
@@ -140,7 +143,7 @@ def free_api(cost: Column) -> Column:
 
 def free_strict(cost: Column) -> Column:
     """The pages' notion: says free or zero; an unrecorded cost is not free."""
-    return F.coalesce(cost, F.lit("")).rlike(r"(?i)^\s*(free|\$?0(\.00)?)\s*$")
+    return F.coalesce(cost, F.lit("")).rlike(SAYS_FREE)
 
 
 def fee_shown_free(cost: Column) -> Column:

@@ -16,6 +16,8 @@ from .jsonld import event_nodes, islands
 ALL_DAY = r"(?i)\ball[\s-]*day\b"
 VISIBLE_TIME = r"(?i)(\d{1,2}):(\d{2})\s*([AP]\.?M\.?)?(?:\s*[—–-]\s*\d{1,2}:\d{2}\s*([AP]\.?M\.?))?"
 LIBRARY_ADDRESS = r"^(.+?),\s*([^,]+?)\s*,\s*([A-Z]{2}),?\s*(\d{5})?$"
+COMMUNITY_KINDS, STAGE_KINDS, ARTS_KINDS = ("esl", "us-citizenship", "social-work"), ("music-movies",), ("storytimes", "hands-on", "book-clubs")
+MUSIC_WORDS = "music|concert|sing"
 FAMILY_CATEGORIES = ("children", "storytimes", "all-ages", "kids", "family", "families")
 DRUPAL_EXCLUDE = (r"^holiday:", r"executive session", r"^example .*event$")
 CLOCK = r"(?i)\b(\d{1,2})(?::(\d{2}))?\s*([ap])\.?\s*m\.?(?![a-z])"
@@ -135,9 +137,9 @@ def assabet(captures: DataFrame, registry: DataFrame, settings: Settings = DEFAU
     has = lambda *names: F.arrays_overlap(kinds, F.array(*[F.lit(n) for n in names]))
     rows = rows.withColumn("description", story)
     said = F.lower(F.concat("title", F.lit(" "), "description"))
-    own = (F.when(has("esl", "us-citizenship", "social-work"), "community")
-           .when(has("music-movies"), F.when(said.rlike("music|concert|sing"), "music").otherwise("arts and culture"))
-           .when(has("storytimes", "hands-on", "book-clubs"), "arts and culture").otherwise(first_rule(said, LIBRARY_TEXT_RULES, "community")))
+    own = (F.when(has(*COMMUNITY_KINDS), "community")
+           .when(has(*STAGE_KINDS), F.when(said.rlike(MUSIC_WORDS), "music").otherwise("arts and culture"))
+           .when(has(*ARTS_KINDS), "arts and culture").otherwise(first_rule(said, LIBRARY_TEXT_RULES, "community")))
     rows = (rows.withColumn("family_friendly", has(*FAMILY_CATEGORIES)).withColumn("category", F.coalesce(param("category"), own))
             .withColumn("source_url", F.col("link")).withColumn("image_url", nonblank(text(v, "$.image"))).withColumn("arrival_ix", arrival(F.col("pos"))))
     return finish(rows, ["source_url", "start_datetime"])

@@ -27,6 +27,9 @@ RESTRICTED = (
     r"(?:not|n't)\s+open\s+to\s+the\s+(?:general\s+)?public",
     r"\bclosed\s+to\s+the\s+public",
     r"\bopen\s+(?:only\s+)?(?:to\s+)?(?:the\s+)?(?:[\w&.'-]+\s+){0,3}" + GROUP + r"(?:\s+members)?\s+only")
+OWN_ONLY = r"\b(?:only\s+open|open\s+only)\s+to\s+(?:the\s+)?(?:"
+OWN_RESTRICTED = r"\brestricted\s+to\s+(?:the\s+)?(?:"
+OWN_PROOF = r"\s+(?:id|kerberos|certificate|login|credentials?)\s+(?:is\s+|are\s+)?required"
 # ---------------------------------------------------------------------------
 
 
@@ -173,8 +176,7 @@ def localist(captures: DataFrame, registry: DataFrame, settings: Settings = DEFA
     # who may attend: the institution's own names only matter where the registry lists them
     said = F.concat(F.coalesce(text(i, "$.title"), F.lit("")), F.lit("\n"), F.coalesce(text(i, "$.description_text"), F.lit("")))
     listed = F.array_join(F.transform(F.from_json(param("affiliation", "[]"), "array<string>"), lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
-    own = F.concat(F.lit(r"(?iU)\b(?:only\s+open|open\s+only)\s+to\s+(?:the\s+)?(?:"), listed, F.lit(r")\b|\brestricted\s+to\s+(?:the\s+)?(?:"), listed,
-                   F.lit(r")\b|\b(?:"), listed, F.lit(r")\s+(?:id|kerberos|certificate|login|credentials?)\s+(?:is\s+|are\s+)?required"))
+    own = F.concat(F.lit("(?iU)" + OWN_ONLY), listed, F.lit(r")\b|" + OWN_RESTRICTED), listed, F.lit(r")\b|\b(?:"), listed, F.lit(")" + OWN_PROOF))
     closed = said.rlike("(?iU)" + "|".join(RESTRICTED)) | ((listed != "") & F.regexp_like(said, own))
     audience = param("audience", "Public")
     public = (audience.isin("", "null")) | F.array_contains(F.transform(audiences, lambda a: F.lower(a)), F.lower(audience)) | said.rlike(OPEN_TO_PUBLIC)

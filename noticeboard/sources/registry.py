@@ -57,8 +57,26 @@ def _plain(value) -> str:
     return json.dumps(value)
 
 
+PATTERN_PARAMS = ("exclude",)
+
+
+def check_patterns(spark: SparkSession, rows: list[tuple]) -> None:
+    """Patterns of the registry are compiled once here, so that a bad one names its source instead of failing a job."""
+    import json
+    compile_ = spark._jvm.java.util.regex.Pattern.compile
+    for name, params in ((r[0], r[4]) for r in rows):
+        for key in PATTERN_PARAMS:
+            for pattern in json.loads(params.get(key) or "[]"):
+                try:
+                    compile_(pattern)
+                except Exception as error:
+                    raise ValueError(f"{name}: `{key}` has a pattern that cannot be read: {pattern!r}") from error
+
+
 def registry_frame(spark: SparkSession, records: Iterable[dict]) -> DataFrame:
-    return spark.createDataFrame(registry_rows(records), REGISTRY)
+    rows = registry_rows(records)
+    check_patterns(spark, rows)
+    return spark.createDataFrame(rows, REGISTRY)
 
 
 def load_registry(spark: SparkSession, folder: str | Path) -> DataFrame:

@@ -20,7 +20,7 @@ _RAW = T.StructType([
 def read_listings_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A JSON array of listings, or ``{"events": [...]}``; a missing file is an empty table.
 
-    ``arrival_ix`` is the row's place in the files, unique in the result.
+    ``arrival_ix`` numbers the rows from zero by file and place in it; how the files are split does not matter.
 
     Times keep their text in ``*_raw`` columns too, for the checks that judge the text.
     ``lines=True`` reads newline-delimited JSON, which Spark can split; a single
@@ -31,10 +31,12 @@ def read_listings_json(spark: SparkSession, path: str, lines: bool = False) -> D
     wrapped = T.StructType(_RAW.fields + [T.StructField("events", T.ArrayType(_RAW))])
     raw = spark.read.schema(wrapped).json(path, multiLine=not lines)
     rows = F.coalesce(F.col("events"), F.array(F.struct(*[F.col(f.name) for f in _RAW.fields])))
-    return _typed(raw.select(F.explode(rows).alias("r")).select("r.*"))
+    placed = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_nth"), F.posexplode(rows).alias("_pos", "r"))
+    return _typed(placed.select("r.*", F.struct("_file", "_at", "_nth", "_pos").alias("_place")))
 
 
 def _typed(raw: DataFrame) -> DataFrame:
+    from ..operators.normalise import number_rows
     times = [f.name for f in LISTING.fields if isinstance(f.dataType, T.TimestampNTZType)]
     out = raw
     for name in ("start_datetime", "end_datetime"):
@@ -44,7 +46,11 @@ def _typed(raw: DataFrame) -> DataFrame:
     for f in LISTING.fields:
         if isinstance(f.dataType, T.BooleanType):
             out = out.withColumn(f.name, F.coalesce(F.col(f.name), F.lit(False)))
-    return out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("arrival_ix", F.monotonically_increasing_id())
+    out = out.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    if "_place" not in out.columns:
+        return out.withColumn("arrival_ix", F.lit(0).cast("bigint"))
+    # by file and place in it, however the files are split
+    return number_rows(out, "_place").withColumn("arrival_ix", F.col("n").cast("bigint")).drop("_place", "n")
 
 
 def canonical_order(df: DataFrame) -> DataFrame:

@@ -131,3 +131,35 @@ def test_a_large_calendar_file_is_read_by_many_tasks(spark, tmp_path):
     assert {r["cal_zone"] for r in found} == {"Europe/London"} and all("folded one" in r["d"] for r in found)
     listed = ical.ical_files(spark, str(tmp_path), reg, Settings(zone="Europe/London"))
     assert listed.count() == 2000 and listed.filter("hour(start_datetime) = 19").count() == 2000
+
+
+def test_gazetteer_keys_and_faults(spark):
+    from noticeboard.operators import places
+    rows = [{"name": "Club  One", "aliases": ["The Club", "Café’s"], "lat": 37.8, "lng": -122.3, "city": "Oakland"}, {"name": "Hall", "city": ""}, {"name": "the club", "lat": 37.7, "lng": -122.2}]
+    got = {r["key"]: r for r in places.gazetteer(spark, rows).collect()}
+    assert set(got) == {"club one", "the club", "café's", "hall"} and got["the club"]["name"] == "the club" and got["the club"]["lat"] == 37.7
+    assert got["hall"]["city"] is None and got["the club"]["key_ix"] < got["hall"]["key_ix"]
+    for bad, says in (({"name": "Half", "lat": 1.0}, "Half: one coordinate"), ({"name": "Off", "lat": 95.0, "lng": 10.0}, "Off: no such place as 95.0"), ({"name": " "}, "no name")):
+        with pytest.raises(ValueError, match=says):
+            places.gazetteer(spark, [*rows, bad])
+    away = spark.createDataFrame([("Far", None, 1.0, 2.0, None, 0)], places.PINNED)
+    assert [(r["fault"], r["fatal"]) for r in places.gazetteer_faults(away).collect()] == [("outside the region", False)] and places.gazetteer_keys(away).count() == 1
+    assert places.gazetteer(spark, []).count() == 0
+
+
+def test_a_pattern_that_cannot_be_read_names_its_source(spark):
+    with pytest.raises(ValueError, match=r"B: `exclude` has a pattern .*\(open"):
+        registry_frame(spark, [{"name": "A", "adapter": "ical", "params": {"exclude": ["^fine$"]}}, {"name": "B", "adapter": "ical", "params": {"exclude": ["(open"]}}])
+
+
+def test_stored_rows_are_numbered_however_files_are_split(spark, tmp_path):
+    import json
+    from noticeboard.sources.stored import read_listings_json
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.json").write_text("\n".join(json.dumps({"id": f"{name}{i:04d}", "title": "t" * 200, "source_name": "S"}) for i in range(400)))
+    before, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    for size in ("10m", "9k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append({r["id"]: r["arrival_ix"] for r in read_listings_json(spark, str(tmp_path), lines=True).collect()})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] == {f"{n}{i:04d}": k * 400 + i for k, n in enumerate("ab") for i in range(400)}
