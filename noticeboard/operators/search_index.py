@@ -18,6 +18,8 @@ from .serve import SEARCH_WEIGHTS
 
 BLOCK_BITS = 16
 PARTS = 64
+POSTINGS = "word string, block bigint, rows array<struct<low:int,bits:int>>, bits int, part int"
+DICTIONARY = "word string, bits int, part int"
 FIELDS = (*SEARCH_WEIGHTS, ("description", 0))          # the description is found by phrase search alone
 
 
@@ -37,8 +39,8 @@ def build_index(listings: DataFrame, path: str | None = None, parts: int = PARTS
     posted = per_row.groupBy("word", block).agg(F.sort_array(F.collect_list(F.struct(low, "bits"))).alias("rows"), F.bit_or("bits").alias("bits"))
     (posted.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("word", "block"), F.lit(16))).sortWithinPartitions("part", "word", "block")
      .write.partitionBy("part").parquet(f"{path}/postings"))
-    stored = listings.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("part", "word").agg(F.bit_or("bits").alias("bits")).write.parquet(f"{path}/words")
+    stored = listings.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
+    stored.groupBy("word").agg(F.bit_or("bits").alias("bits"), F.first("part").alias("part")).write.parquet(f"{path}/words")
     return path
 
 
@@ -46,7 +48,7 @@ def _postings(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     """Postings of the ``wanted(part, word, ...)``: the dictionary is asked first, then only the partitions of its answer are opened."""
     wanted = keep(wanted)
     parts = sorted(r["part"] for r in wanted.select("part").distinct().collect())         # numbers, as many as the index has parts at most
-    return spark.read.parquet(f"{path}/postings").filter(F.col("part").isin(parts)).drop("bits").join(wanted, ["part", "word"])
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(F.col("part").isin(parts)).drop("bits").join(wanted, ["part", "word"])
 
 
 def _row(block: str = "block") -> Column:
@@ -60,7 +62,7 @@ def _best_weight(bits: Column) -> Column:
 def matches(spark: SparkSession, path: str, query: str) -> DataFrame:
     """``arrival_ix, match_score`` of rows in which every term lands; each term counts its heaviest field."""
     terms = query.lower().split()
-    words = spark.read.parquet(f"{path}/words")
+    words = spark.read.schema(DICTIONARY).parquet(f"{path}/words")
     hit = F.array(*[F.when(F.contains("word", F.lit(t)), i) for i, t in enumerate(terms)])
     # the dictionary is read once for all terms; a field without weight never lands
     wanted = words.filter(F.exists(hit, lambda i: i.isNotNull())).filter(_best_weight(F.col("bits")) > 0).select("part", "word", F.array_compact(hit).alias("terms"))
@@ -93,7 +95,7 @@ def phrase_candidates(spark: SparkSession, path: str, query: str) -> DataFrame |
     if not asked:
         return None                                      # nothing but blanks: no word to ask for
     hit = F.array(*[F.when(c, i) for i, c in enumerate(asked)])
-    words = spark.read.parquet(f"{path}/words").filter(F.exists(hit, lambda i: i.isNotNull())).filter(F.col("bits").bitwiseAND(F.lit(fields)) > 0)
+    words = spark.read.schema(DICTIONARY).parquet(f"{path}/words").filter(F.exists(hit, lambda i: i.isNotNull())).filter(F.col("bits").bitwiseAND(F.lit(fields)) > 0)
     found = _postings(spark, path, words.select("part", "word", F.array_compact(hit).alias("terms"))).select("block", "terms", F.explode("rows").alias("r"))
     found = found.filter(F.col("r.bits").bitwiseAND(F.lit(fields)) > 0).select(_row().alias("arrival_ix"), F.explode("terms").alias("term"))
     return found.groupBy("arrival_ix").agg(F.count_distinct("term").alias("n")).filter(F.col("n") == len(asked)).select("arrival_ix")
