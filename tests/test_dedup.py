@@ -125,6 +125,34 @@ def test_links_lose_no_pair(spark):
         assert got == want
 
 
+def test_common_words_leave_few_ratios():
+    """Titles behind one long phrase share most of their pairs of letters; filters, not ratios, tell them apart."""
+    r = random.Random(4)
+    digits = lambda: "".join(r.choice("0123456789abcdef") for _ in range(64))
+    texts = ["the house of music proudly presents " + digits() for _ in range(150)] + [digits() for _ in range(150)]
+    texts += [t[:-3] + "xyz" for t in texts[:10]] + [texts[200] + " show", "a" * 90 + "b" * 600, "a" * 90 + "b" * 601]
+    block, confirmed = similarity.Block(texts, 0.85, 2), []
+    plain = block._confirm
+    block._confirm = lambda a, b: confirmed.extend(a) or plain(a, b)
+    every = similarity.np.arange(len(texts))
+    got = set(zip(*(x.tolist() for x in block.alike(every, every))))
+    assert {(i, 300 + i) for i in range(10)} | {(200, 310), (310, 200), (311, 312)} <= got and len(confirmed) <= 200
+    short = similarity.Block(texts[:311], 0.85, 2)
+    pairs = [(a, b) for a in range(0, 311, 5) for b in range(311) if a != b and SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.85]
+    assert pairs == sorted(p for p in zip(*(x.tolist() for x in short.alike(every[:311:5], every[:311]))))
+
+
+def test_an_hour_beyond_one_block_loses_no_link(spark, monkeypatch):
+    words = [f"{w} {n:04d} late show" for n in range(8) for w in ("jazz night", "night of jazz", "story time for kids")] + ["0003 late show"]
+    hours = spark.createDataFrame([(h, i) for i in range(len(words)) for h in (0, 1, 90)[:1 + i % 3]], "hour long, tid long")
+    links = lambda: {tuple(x) for x in title_links(hours, hours, texts_of(spark, words), 0.85, 2, contain=True, offsets=(0, 1)).collect()}
+    whole = links()
+    one = lambda: similarity.link_stages(hours, hours, texts_of(spark, words), 0.85, 2, spark.createDataFrame([], "a long, b long, near boolean"), (0, 1)).first().asDict()
+    stages = one()
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    assert links() == whole and len(whole) > 100 and one() == stages
+
+
 def test_common_subsequence(spark):
     r = random.Random(2)
     for _ in range(300):
