@@ -202,3 +202,27 @@ def test_detection_and_checks(spark):
     assert got == {(1, "ical"): 0.59, (1, "tribe"): 0.38, (2, "blocked"): 1.0}
     rows = spark.createDataFrame([("S", 0, "a"), ("S", 1, "b"), ("S", 2, "a"), ("S", 3, "c")], "source_name string, seq int, k string")
     assert sorted(r.k for r in checks.before_repeat(rows, ["k"]).collect()) == ["a", "b"]
+
+
+def test_cards_are_made_a_few_pages_at_a_time(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from noticeboard.functions.markup import PIECE, card_fields, in_pieces
+    pieces = list(in_pieces(iter([pd.Series(range(3 * PIECE + 1)), pd.Series(range(2))]), lambda x: x + 1))
+    assert max(map(len, pieces)) <= PIECE and pd.concat(pieces).tolist() == [*range(1, 3 * PIECE + 2), 1, 2]
+    pages = [(i, f"<article class='c'><b>{i}</b></article>" * (i % 3)) for i in range(3 * PIECE + 1)]
+    got = spark.createDataFrame(pages, "i long, body string").coalesce(1).select("i", F.transform(card_fields(F.col("body"), "article.c", {"b": "b"}), lambda c: c["b"][0]["text"]).alias("t")).collect()
+    assert {r["i"]: r["t"] for r in got} == {i: [str(i)] * (i % 3) for i, _ in pages}
+
+
+def test_text_of_fragments_is_made_one_at_a_time():
+    import tracemalloc
+    import pandas as pd
+    from noticeboard.functions.text import strip_html
+    words = " ".join(f"word{i}" for i in range(5000))
+    texts = pd.Series([f"<p>{words}</p>"] * 60)
+    tracemalloc.start()
+    got = strip_html.func(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == {words} and peak < 34_000_000        # with all words of the batch it is 42 MB
