@@ -15,7 +15,8 @@ from array import array
 
 import numpy as np
 
-MEMORY_BYTES = 96_000_000         # of remembered chunks in a worker, about; the memory is emptied when it is full
+MEMORY_BYTES = 96_000_000         # of remembered chunks in a worker, about; when half of it is full, what was not used since the last time goes
+_TOGETHER = 16                    # texts whose new chunks are learned at once: few, so that what was just looked up is still near
 _ENTRY = 180                      # bytes that a remembered chunk takes besides its letters and ids
 # --- fixed values: how files of this kind split a text, as they state it, and the mark of a word's end ---
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -49,7 +50,7 @@ class Words:
         if len(ranks) != len(entries):
             raise ValueError("two merges make the same entry")
         self.ids = [vocab[t] for t in entries]
-        self.engine = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         kind = lambda k: "".join(re.escape(chr(c)) for c in range(ord(COMMON_CHARACTERS)) if unicodedata.category(chr(c)).startswith(k))
         letter, number = kind("L"), kind("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\\t-\\r \\x85\\xa0{letter}{number}]+").findall
@@ -60,8 +61,8 @@ class Words:
         lowers = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers") or ())
         return SPLIT in stated and lowers and spec["model"].get("type") == "BPE" and spec["model"].get("end_of_word_suffix") == WORD_END and not spec["model"].get("dropout")
 
-    def encode(self, word: str) -> list[int]:
-        return [self.ids[r] for r in self.engine._encode_single_piece(word.encode() + _END)]
+    def encode(self, word: bytes) -> list[int]:
+        return [self.ids[r] for r in self.merge(word + _END)]
 
 
 class Codec:
@@ -84,40 +85,61 @@ class Codec:
 
     def _forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}          # the older half of the memory
         self.bytes = 0
 
+    def _keep(self, chunk: bytes, ids: bytes) -> bytes:
+        self.known[chunk] = ids
+        self.bytes += _ENTRY + len(chunk) + len(ids)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word; the same word often stands in several chunks."""
+        raw = word.encode()
+        if not word.isascii():
+            return array(self.kind.char, self.words.encode(raw)).tobytes()
+        ids = self.known.get(raw) or self.before.get(raw)
+        return self._keep(raw, array(self.kind.char, self.words.encode(raw)).tobytes()) if ids is None else ids
+
     def _ids(self, texts) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        known, rest = self.known, []
+        before, rest = self.before, []
         for chunk in new:
+            ids = before.get(chunk)
+            if ids is not None:
+                self._keep(chunk, ids)
+                continue
+            if self.words is not None and chunk.isalpha():          # ASCII letters alone are one word
+                self._keep(chunk, array(self.kind.char, self.words.encode(chunk.lower())).tobytes())
+                continue
             text = chunk.decode()
             if self.words is None or b"<|" in chunk or not (text.isascii() or max(text) < COMMON_CHARACTERS):
                 rest.append(chunk)
                 continue
-            ids = [i for word in self.words.split(text.lower()) for i in self.words.encode(word)]
-            known[chunk] = array(self.kind.char, ids).tobytes()
-            self.bytes += _ENTRY + len(chunk) + len(known[chunk])
+            self._keep(chunk, b"".join([self._word(w) for w in self.words.split(text.lower())]))
         for chunk, ids in zip(rest, self._ids(c.decode() for c in rest)):
-            known[chunk] = np.array(ids, self.kind).tobytes()
-            self.bytes += _ENTRY + len(chunk) + len(known[chunk])
+            self._keep(chunk, np.array(ids, self.kind).tobytes())
 
     def _by_chunk(self, texts: list[str | None]) -> list[np.ndarray]:
-        chunked, new = [], set()
-        if self.bytes > MEMORY_BYTES:
-            self._forget()
-        known = self.known
-        for text in texts:
-            raw = (text or "").encode()
-            if b"<|" not in raw:          # a special token's name counts only as it is written
-                raw = raw.lower()
-            chunks = raw.split()          # at 0x20 and 0x09-0x0D alone, which the tokenizer drops as well
-            chunked.append(chunks)
-            new.update(c for c in chunks if c not in known)
-        if new:
-            self._learn(new)
-        return [np.frombuffer(b"".join([known[c] for c in chunks]), self.kind) for chunks in chunked]
+        out = []
+        for at in range(0, len(texts), _TOGETHER):
+            chunked, new = [], set()
+            if 2 * self.bytes > MEMORY_BYTES:
+                self.known, self.before, self.bytes = {}, self.known, 0
+            known = self.known
+            for text in texts[at:at + _TOGETHER]:
+                raw = (text or "").encode()
+                if b"<|" not in raw:          # a special token's name counts only as it is written
+                    raw = raw.lower()
+                chunks = raw.split()          # at 0x20 and 0x09-0x0D alone, which the tokenizer drops as well
+                chunked.append(chunks)
+                new |= set(chunks).difference(known)
+            if new:
+                self._learn(new)
+            out += [np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.kind) for chunks in chunked]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""

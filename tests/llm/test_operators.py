@@ -346,3 +346,13 @@ def test_codec_gives_the_tokenizers_own_ids():
     assert [x.tolist() for x in coder.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     coder.bytes = tokens.MEMORY_BYTES + 1
     assert coder.encode(["again"])[0].tolist() == plain.encode("again", add_special_tokens=False).ids and len(coder.known) == 1
+
+
+def test_codec_keeps_what_is_in_use_when_its_memory_is_full(monkeypatch):
+    from noticeboard.llm import tokens
+    coder = tokens.Codec(tokenizer_path())
+    coder.encode(["often, seldom"])
+    coder.bytes = tokens.MEMORY_BYTES + 1
+    monkeypatch.setattr(coder.words, "merge", None)                   # nothing can be worked out anew
+    assert coder.encode(["often, often"])[0].tolist() and set(coder.known) == {b"often,", b"often"}
+    assert b"seldom" in coder.before
