@@ -2,15 +2,15 @@
 
 All n-grams stand in one global order, rare first. A document's set, sorted in that order, is cut at common pivots into fragments; the
 overlap of a pair is counted fragment by fragment and summed per pair, exactly. Only pairs that can still reach the threshold are counted:
-they share n-grams in the rare ends of both sets (their prefixes), and enough of them, or a whole part (see ``Parts``).
+they share n-grams in the rare ends of both sets (their prefixes), and enough of them.
 
 * Documents with equal sets are one class and travel once, so copies make no pairs.
 * The order comes from a count sketch of fixed size over all documents. It steers how much work there is, never which pairs are found:
   any order gives the same links.
 * Classes that share a prefix n-gram are first compared with one hub of that n-gram: each class with the hub that shares most with it, then with
-  those of its other hubs that this left in another component. So a large group of near copies costs about one comparison a member.
-* What remains in a group of several components is compared across them where two sets agree in a whole part. How rare an n-gram is shows less and
-  less as a corpus outgrows the sketch, but a part is many n-grams at once, and no link between different components is missed.
+  those of its other hubs that this left in another component. What that already connects needs no further pairs; the others in such a group are
+  then compared with each other across components. So a large group of near copies costs about one comparison a member, and no link between
+  different components is missed.
 
 Defined cases: null or blank text has the empty set and links with nothing; fewer words than n make one n-gram of all words; rows with
 null or repeated doc_id are documents of their own, and a component's id is its smallest doc_id that is not null; an empty table gives an
@@ -18,9 +18,7 @@ empty table; other columns are ignored.
 """
 from __future__ import annotations
 
-import math
 import zlib
-from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -88,47 +86,6 @@ class Order:
         return (key ^ np.uint64(1 << 63)).view("int64")          # signed, in the same order
 
 
-class Parts:
-    """Keys under which any two linking sets agree at least once.
-
-    Sizes fall into classes so wide that linking sets lie in one or in neighbours. Sets of sizes up to u link only if at most
-    ``2u (den - num) / (den + num)`` n-grams are in one of them alone; cut by hash into more parts than that, some parts are equal. A few spare
-    parts make up for empty ones, which would say nothing; a set with more empty parts than spare ones shows its empty parts too.
-    """
-
-    def __init__(self, num: int, den: int):
-        self.bounds = [1]
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(self.bounds[-1] * den // num + 1)
-        self.cuts = []
-        for t in range(len(self.bounds) - 1):
-            needed = 2 * (self.bounds[t + 1] - 1) * (den - num) // (den + num) + 1
-            empty = needed * math.exp(-self.bounds[max(t - 1, 0)] / needed)
-            self.cuts.append((needed, math.ceil(empty + 4 * math.sqrt(empty))))
-
-    def keys(self, grams: np.ndarray) -> np.ndarray:
-        """For the set's own class of sizes and the next one: a hash of each part, its place and the class."""
-        if len(grams) == 0:
-            return grams.view("int64")
-        g, out = grams.view("uint64"), []
-        mixed = (g ^ (g >> np.uint64(31))) * _MULT[5]
-        mixed ^= mixed >> np.uint64(29)
-        at = mixed >> np.uint64(33)
-        mixed = mixed * _MULT[6]
-        own = bisect_right(self.bounds, len(grams)) - 1
-        for t in (own, own + 1):
-            needed, spare = self.cuts[t]
-            n = needed + spare
-            place = (at % np.uint64(n)).astype("int64")
-            whole = np.zeros(n, "uint64")
-            np.add.at(whole, place, mixed)
-            key = (whole ^ (whole >> np.uint64(32))) * _MULT[3] + (np.arange(n, dtype="uint64") + np.uint64(t << 40)) * _MULT[4]
-            key ^= key >> np.uint64(30)
-            full = np.bincount(place, minlength=n) > 0
-            out.append(key if n - full.sum() > spare else key[full])
-        return np.concatenate(out).view("int64")
-
-
 def frequency_order(docs: DataFrame, width: int) -> Order:
     """Count the n-grams of all documents into a sketch of 2**SKETCH_BITS counters and rank them."""
     def count(frames):
@@ -213,12 +170,6 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             .where(_reaches(f"both + greatest({rest('a_n')}, {rest('b_n')})", "a_n", "b_n", num, den)))
     star = stored(star.select("a", "b", "a_n", "b_n", "both"))
 
-    def again(nodes: DataFrame) -> DataFrame:
-        """``node, text`` of the classes in ``nodes``: their texts are read again and moved once."""
-        wanted = stored(classes.join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")))
-        some = texts.where(might_contain(wanted.select("_hash"), F.col("text_hash")))
-        return some.join(wanted, F.col("text_hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("node", "text")
-
     def cut(frames):
         for frame in batches(frames, "text"):
             rows = []
@@ -230,9 +181,12 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         forget_words()
 
     def fragments(pairs: DataFrame) -> DataFrame:
-        """The cut sets of the classes in ``pairs``."""
+        """The cut sets of the classes in ``pairs``; their texts are read again and moved once."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return stored(again(nodes).mapInPandas(cut, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"]))
+        wanted = stored(classes.join(nodes, "node").select("node", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash")))
+        some = texts.where(might_contain(wanted.select("_hash"), F.col("text_hash")))
+        found = some.join(wanted, F.col("text_hash").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+        return stored(found.select("node", "text").mapInPandas(cut, "node long, fragment int, grams array<long>").dropDuplicates(["node", "fragment"]))
 
     def linked(pairs: DataFrame, cuts: DataFrame) -> DataFrame:
         """Pairs that reach the threshold: partial overlaps per fragment, summed per pair."""
@@ -258,26 +212,18 @@ def _linked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         links = stored(links.union(linked(others, cuts)))
         roots = components(links)
     # groups that the hubs left in several components: compare across components, each pair once
-    named = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    named = shared.join(roots, "node", "left").select("gram", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     split = named.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
-    open_ = stored(named.join(split, "gram").select("node", "n", "root").distinct())
-    cutter = Parts(num, den)
-
-    def part(frames):
-        for frame in batches(frames, "text"):
-            yield pd.DataFrame({"node": frame["node"], "part": [cutter.keys(order.value.keys(ngrams(t, width))) for t in frame["text"]]})
-        forget_words()
-
-    parts = again(open_.select("node")).mapInPandas(part, "node long, part array<long>")
-    parts = stored(parts.select("node", F.explode("part").alias("part")).distinct())
-    met = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("part")
-    met = stored(parts.join(met, "part").join(open_, "node"))
-    x, y = met.alias("x"), met.alias("y")
-    meet = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") < F.col("y.root")) & F.expr(alike("x.n", "y.n"))
-    across = (x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n")).distinct())
+    open_ = stored(named.join(split, "gram"))
+    x, y = open_.alias("x"), open_.alias("y")
+    meet = ((F.col("x.gram") == F.col("y.gram")) & (F.col("x.root") < F.col("y.root"))
+            & F.expr(alike("x.n", "y.n")) & F.expr(ahead("x.n", "x.i", "y.n", "y.i")))
+    across = (x.join(y, meet).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+              .agg(F.first("x.n").alias("a_n"), F.first("y.n").alias("b_n"), F.count(F.lit(1)).alias("both"))
+              .where(_reaches(f"both + greatest({rest('a_n')}, {rest('b_n')})", "a_n", "b_n", num, den)))
     tested = best.select("a", "b").union(others.select("a", "b"))
     tested = tested.union(tested.select("b", "a"))
-    across = stored(across.join(tested, ["a", "b"], "left_anti"))
+    across = stored(across.select("a", "b", "a_n", "b_n").join(tested, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         roots = components(links.union(linked(across, fragments(across))))
 
