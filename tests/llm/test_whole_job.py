@@ -66,6 +66,15 @@ def test_line_dedup_takes_short_repeats(make):
     assert sum(x["text"].split("\n").count("Share this") for x in got) == 1 and sum(x["n_removed"] for x in got) == 16 + 3
 
 
+def test_line_dedup_stores_no_shingle_sets(make, monkeypatch):
+    kept, write = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df: kept.append(df.columns) or write(df))
+    docs = line_cases() + [(100 + i, f"{prose(700, 24 + i % 3)} {prose(701 + i, 2)}") for i in range(12)]
+    got = line_dedup.dedup_lines(make(docs), every_position=True).collect()
+    assert {(x["doc_id"], x["text"]) for x in got} == whole_lines(docs)
+    assert kept and not any("set" in columns for columns in kept)
+
+
 def test_ngram_join_null_id_among_copies(make):
     text = prose(70, 60)
     near = text.replace(" ", "  ") + " tail"
