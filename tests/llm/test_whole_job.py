@@ -51,6 +51,18 @@ def line_cases():
     return [(i, line + "\n" + prose(300 + i, 14)) for i, line in enumerate(lines)]
 
 
+def test_hashes_of_shingles_without_a_pattern(spark, capsys):
+    """The bytes of a line give the hashes that the pattern gives, whatever characters it has, and no pattern is run at every place."""
+    from pyspark.sql import functions as F
+    texts = [x for _, t in line_cases() for x in t.split("\n")] + ["x" * 11, "x" * 12, "", "\u00e9" * 12, "I\u0130" * 30, "Caf\u00e9 " * 300, "ab\u2026\U0001F600" * 400, prose(5, 900), None]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    quick = line_dedup.hash_rows(lines, every_position=True)
+    slow = lines.select("id", F.explode(line_dedup.shingles(F.col("line"), True)).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    assert {tuple(r) for r in quick.collect()} == {tuple(r) for r in slow.collect()} != set()
+    quick.explain(True)
+    assert "regexp_extract_all" not in capsys.readouterr().out
+
+
 def test_line_dedup_looks_at_every_character(make):
     docs = line_cases()
     got = line_dedup.dedup_lines(make(docs), every_position=True).collect()
