@@ -153,6 +153,15 @@ def test_an_hour_beyond_one_block_loses_no_link(spark, monkeypatch):
     assert links() == whole and len(whole) > 100 and one() == stages
 
 
+def test_tiles_meet_every_pair_once():
+    frame = similarity.pd.DataFrame({"side": [0, 1] * 9 + [0], "tid": range(19), "t": ["x" * (7 * i % 11) for i in range(19)]})
+    met = [(a, b) for tile in similarity.tiles(frame, 4) for a in tile["tid"][tile["side"] == 0] for b in tile["tid"][tile["side"] == 1]]
+    assert sorted(met) == [(a, b) for a in range(0, 19, 2) for b in range(1, 19, 2)]
+    # few pairs stay in small groups, so that all cores have some; many come in large ones, so that texts are copied less
+    assert similarity.group_side(10 ** 6, 8) == similarity.BLOCK and similarity.group_side(10 ** 13, 8) == similarity.TILES * similarity.BLOCK
+    assert similarity.group_side(64 * 5000 ** 2, 8) == 5000
+
+
 def test_common_subsequence(spark):
     r = random.Random(2)
     for _ in range(300):
